@@ -5,10 +5,11 @@ their minimizer (the least of their ``m``-word hashes) make one path; equal wind
 have equal minimizers, so all occurrences of an edge meet under one key.
 
 * A minimizer seen once has no repeated edge: its path goes.
-* Where all paths of a minimizer read the same words, nothing branches: the path is compact,
-  and stands for all its edges at once.
-* Where paths differ, the graph branches there: only these are cut into single edges, which
-  are counted by two independent 64-bit hashes read at their source coordinates.
+* Paths of one minimizer that read the same words are one class. A class of two paths or more
+  is compact: it stands for all its edges at once, wherever its paths lie.
+* Where a minimizer also has a class of a single path, the graph branches: one path of each
+  class there is cut into single edges, which are counted by two independent 64-bit hashes
+  read at their source coordinates.
 
 Coordinates (document, first window, windows) then mark the words that repeated edges cover.
 Rows: one record for each minimizer (about two for every k - m + 2 words), never a window
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import scratch
 from .tokens import Sums, blocks, mix
 
 WINDOW = 35
@@ -144,23 +145,24 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"))
     whole = "doc_id long, mark int, start int, n int"
     found = scratch.keep(docs.mapInArrow(path_rows(k, m), f"gram long, check long, {whole}"), "paths")
-    groups = (
-        found.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("times"), (F.min("check") == F.max("check")).alias("compact"))
-        .filter("times > 1")
-        .select("gram", "compact")
-    )
-    repeated = found.drop("check").join(groups, "gram")
+    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
+    repeated = scratch.keep(found.join(twice, "gram"), "repeated")
+
+    key, item = ("doc_id", "mark"), F.struct("start", "n")
+    classes = repeated.groupBy("gram", "check").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*key, "start", "n")).alias("first"))
+    classes = scratch.keep(classes, "classes")
+    compact = repeated.join(classes.filter("times > 1").select("gram", "check"), ["gram", "check"])
+    branching = classes.join(classes.filter("times = 1").select("gram").distinct(), "gram").select("first.*")
 
     def of(side: DataFrame) -> DataFrame:
         """Documents beside what there is of each; the shuffle of the texts is planned once and used again."""
         side = side.withColumnsRenamed({"doc_id": "its_id", "mark": "its_mark"})
         return docs.join(side, docs.doc_id.eqNullSafe(side.its_id) & docs.mark.eqNullSafe(side.its_mark), "left").select("doc_id", "mark", "text", side.columns[-1])
 
-    key, item = ("doc_id", "mark"), F.struct("start", "n")
-    branching = repeated.filter("not compact").groupBy(*key).agg(F.collect_list(item).alias("paths"))
-    edges = of(branching).filter("paths is not null").mapInArrow(edge_rows(k), f"one long, two long, {whole}")
+    paths_of = branching.groupBy(*key).agg(F.collect_list(item).alias("paths"))
+    edges = of(paths_of).filter("paths is not null").mapInArrow(edge_rows(k), f"one long, two long, {whole}")
     again = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one", "two")
-    spans = repeated.filter("compact").select(*key, "start", "n").unionByName(edges.join(again, ["one", "two"]).select(*key, "start", "n"))
-    spans = spans.groupBy(*key).agg(F.collect_set(item).alias("spans"))
+    single = edges.join(again, ["one", "two"])
+    spans = [side.groupBy(*key).agg(F.collect_set(item).alias("spans")) for side in (compact, single)]
+    spans = spans[0].unionByName(spans[1]).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return of(spans).mapInArrow(kept_rows(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
