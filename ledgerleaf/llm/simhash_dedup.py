@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .components import components
+from .. import scratch
+from ..operators.graph import components
 
 SHINGLE = 3
 SEED = 42
@@ -90,9 +90,9 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest doc_id linked directly or in steps.
+    """doc_id, fp (long), group and component_id, the smallest doc_id linked directly or in steps.
 
-    ``carry`` names columns that go along.
+    ``group`` tells groups apart where rows share a doc_id. ``carry`` names columns that go along.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     found = scratch.keep(docs.mapInArrow(_rows, docs.drop("text").withColumn("fp", F.lit(0).cast("long")).schema), "prints")
@@ -100,8 +100,8 @@ def near_groups(docs: DataFrame, *carry: str) -> DataFrame:
     groups = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     named = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = scratch.keep(named.join(names, "component").select("fp", "component_id"), "groups")
-    return found.join(of, "fp").select("doc_id", *carry, "fp", "component_id")
+    of = scratch.keep(named.join(names, "component").select("fp", F.col("component").alias("group"), "component_id"), "groups")
+    return found.join(of, "fp").select("doc_id", *carry, "fp", "group", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     marked = docs.withColumn("_mark", F.hash("text"))
     groups = near_groups(marked, "_mark")
-    least = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_mark")).alias("least"))
+    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_mark")).alias("least"))
     least = scratch.keep(least.select(F.col("least.doc_id").alias("_id"), F.col("least._mark").alias("_first")), "firsts")
     kept = marked.join(least, marked.doc_id.eqNullSafe(least._id) & (marked._mark == least._first), "left_semi")
     if not groups.groupBy("doc_id", "_mark").count().filter("count > 1").isEmpty():

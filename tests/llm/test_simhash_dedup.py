@@ -2,8 +2,8 @@ import random
 import re
 
 import xxhash
-from ledgerleaf.llm.components import components
 from ledgerleaf.llm.simhash_dedup import fingerprint, keep_first, links, masks, near_groups, signed
+from ledgerleaf.operators.graph import components
 
 
 def brute_print(text):
@@ -65,7 +65,8 @@ def test_groups_and_first_rows(make, odd_rows):
     of = groups(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 2)
     first = {}
     for (doc, *_), p in zip(odd_rows, prints):
-        first[of[p]] = min(x for x in (first.get(of[p]), doc) if x is not None) if (first.get(of[p]) or doc) else None
+        known = [x for x in (first.get(of[p]), doc) if x is not None]
+        first[of[p]] = min(known) if known else None
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((d, first[of[p]]) for (d, *_), p in zip(odd_rows, prints)), key=str)
     kept = keep_first(make(odd_rows))
     assert kept.columns == make(odd_rows).columns
