@@ -218,7 +218,7 @@ SCHEMA = "doc_id long, item_id long, word long, score double, question_overlap d
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
     """One row for each verified pair: doc_id, item_id, word (of the best passage), score, overlaps."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     parts = max(1, -(-benchmark.count() // items))
     found = None
