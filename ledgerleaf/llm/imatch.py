@@ -42,7 +42,7 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Column
     total = docs.count()
     classes = docs.select(F.explode(F.array_distinct(F.transform(codes(F.col("text")), lambda c: F.shiftright(c, 60 - CLASS_BITS)))).alias("class"))
     band = classes.groupBy("class").count().filter((F.col("count") >= max(2, least * total)) & (F.col("count") <= max(2, most * total)))
-    rows = band.groupBy(F.shiftright("class", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("class") % 64).cast("int"))).alias("bits")).collect()
+    rows = band.groupBy(F.shiftright("class", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(class % 64 as int)))").alias("bits")).collect()
     bits = ["0"] * (1 << CLASS_BITS - 6)
     for r in rows:
         bits[r.word] = str(r.bits)
@@ -55,6 +55,10 @@ def within(c: Column, lex: Column) -> Column:
     return F.when(F.size(found) == 0, c).otherwise(found)
 
 
+def _in_family(shift: int, pattern: int):
+    return lambda x: F.shiftright(x, shift).bitwiseAND(F.lit(3).cast("long")) == pattern
+
+
 def fingerprint(df: DataFrame, kept: str, name: str) -> DataFrame:
     """``df`` with ``name``: the hashes of the list ``kept`` and of its subsets, as an array."""
     sign = lambda a: F.when(F.size(a) == 0, F.lit("-")).otherwise(F.substring(F.md5(F.array_join(a.cast("array<string>"), ",").cast("binary")), 1, 8))
@@ -64,7 +68,7 @@ def fingerprint(df: DataFrame, kept: str, name: str) -> DataFrame:
         for w in WINDOWS:
             for p in PATTERNS:
                 of = f"_{name}_{step}_{w}_{p}"
-                added[of] = F.filter(last.get((w, p), F.col(kept)), lambda x, w=w, p=p: F.shiftright(x, 2 * step + w).bitwiseAND(F.lit(3).cast("long")) == p)
+                added[of] = F.filter(last.get((w, p), F.col(kept)), _in_family(2 * step + w, p))
         df = df.withColumns(added)
         for w in WINDOWS:
             for p in PATTERNS:
@@ -122,10 +126,10 @@ def prints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFra
 
 def sql(least: float = LEAST, most: float = MOST) -> str:
     code = lambda t: f"""list_sort(list_distinct([('0x' || substr(md5(t), 1, 15))::BIGINT FOR t IN regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')]))"""
-    sets = ["k"] + [f"list_filter(k, x -> {' AND '.join(f'((x >> {2 * s + w}) & 3) = {p}' for s in range(step + 1))})" for step in range(STEPS) for w in WINDOWS for p in PATTERNS]
+    sets = ["k"] + [f"list_filter(k, lambda x: {' AND '.join(f'((x >> {2 * s + w}) & 3) = {p}' for s in range(step + 1))})" for step in range(STEPS) for w in WINDOWS for p in PATTERNS]
     sign = ", ".join(f"CASE WHEN len({s}) = 0 THEN '-' ELSE substr(md5(array_to_string({s}, ',')), 1, 8) END" for s in sets)
     shift = 60 - CLASS_BITS
-    near = lambda a, b: f"""coalesce(len(list_filter(list_zip({a}, {b}), p -> p[1] = p[2] AND p[1] <> '-'))::DOUBLE / nullif(len(list_filter(list_zip({a}, {b}), p -> p[1] <> '-' OR p[2] <> '-')), 0), 1.0)"""
+    near = lambda a, b: f"""coalesce(len(list_filter(list_zip({a}, {b}), lambda p: p[1] = p[2] AND p[1] <> '-'))::DOUBLE / nullif(len(list_filter(list_zip({a}, {b}), lambda p: p[1] <> '-' OR p[2] <> '-')), 0), 1.0)"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents),
 x AS (SELECT a.doc_id, a.r, a.n, a.text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited, a.r % a.n + 1 AS nr

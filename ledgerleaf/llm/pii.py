@@ -117,10 +117,16 @@ FEATURES = ("generator", "digits", "groups", "signs", "plus", "brackets", "luhn"
 def spans(text: Column) -> dict[str, Column]:
     """Arrays of base spans by kind, and of binned candidates by generator."""
     text = F.coalesce(text, F.lit(""))
-    out = {k: F.transform(F.filter(hits(text, k, p), lambda h, k=k: CHECKS[k](h.hit)), lambda h: F.struct(h.start.alias("start"), h.end.alias("end"))) for k, p in BASE.items()}
-    for i, (name, p) in enumerate(WIDE.items()):
-        out[name] = F.transform(hits(text, name, p), lambda h, i=i: F.struct(h.start.alias("start"), h.end.alias("end"), F.array(*_bins(h, i)).alias("bins")))
-    return out
+    passing = lambda k: lambda h: CHECKS[k](h.hit)
+    binned = lambda i: lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.array(*_bins(h, i)).alias("bins"))
+    out = {k: F.transform(F.filter(hits(text, k, p), passing(k)), lambda h: F.struct(h.start.alias("start"), h.end.alias("end"))) for k, p in BASE.items()}
+    return out | {name: F.transform(hits(text, name, p), binned(i)) for i, (name, p) in enumerate(WIDE.items())}
+
+
+def _all(names) -> Column:
+    """Base spans as (kind, start, end), kind by kind."""
+    of = lambda i: lambda b: F.struct(F.lit(i).alias("kind"), b.start.alias("start"), b.end.alias("end"))
+    return F.concat(*(F.transform(k, of(i)) for i, k in enumerate(names)))
 
 
 def _touch(a, b) -> Column:
@@ -144,17 +150,17 @@ def train(found: DataFrame) -> dict[str, tuple]:
 def select(found: DataFrame, models: dict[str, tuple]) -> DataFrame:
     """``found`` with ``spans``: base and added ones as (kind, start, end), by kind and start."""
     kind_of = lambda i: F.lit(KINDS.index(i))
-    base = F.concat(*(F.transform(k, lambda b, k=k: F.struct(kind_of(k).alias("kind"), b.start.alias("start"), b.end.alias("end"))) for k in KINDS))
+    base = _all(KINDS)
     if not models:
         return found.withColumn("spans", base)
 
     def judge(c):
         bins = [c.bins[i] for i in range(len(FEATURES))]
-        passed = [F.struct((expression(m, bins) - limit).alias("over"), kind_of(k).alias("kind")) for k, (m, limit) in models.items() if limit < 1e9]
-        return F.struct(c.start.alias("start"), c.end.alias("end"), (F.array_max(F.array(*passed)) if passed else F.struct(F.lit(-1.0).alias("over"), F.lit(0).alias("kind"))).alias("best"))
+        passed = [F.struct((expression(m, bins) - limit).alias("margin"), kind_of(k).alias("kind")) for k, (m, limit) in models.items() if limit < 1e9]
+        return F.struct(c.start.alias("start"), c.end.alias("end"), (F.array_max(F.array(*passed)) if passed else F.struct(F.lit(-1.0).alias("margin"), F.lit(0).alias("kind"))).alias("best"))
 
     free = F.filter(F.concat(*(F.col(w) for w in WIDE)), lambda c: ~F.exists("base", lambda b: _touch(b, c)))
-    added = F.transform(F.filter(F.transform(free, judge), lambda c: c.best.over >= 0), lambda c: F.struct(c.best.kind.alias("kind"), c.start.alias("start"), c.end.alias("end")))
+    added = F.transform(F.filter(F.transform(free, judge), lambda c: c.best.margin >= 0), lambda c: F.struct(c.best.kind.alias("kind"), c.start.alias("start"), c.end.alias("end")))
     return found.withColumn("base", base).withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added)))).drop("base")
 
 
@@ -166,7 +172,7 @@ def _written(a: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256, and spans."""
     found = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in spans(F.col("text")).items())), "found")
-    base = F.concat(*(F.transform(k, lambda b, k=k: F.struct(F.lit(KINDS.index(k)).alias("kind"), b.start.alias("start"), b.end.alias("end"))) for k in KINDS))
+    base = _all(KINDS)
     return select(found, train(found)).select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans")
     )
