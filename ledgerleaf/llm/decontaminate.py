@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LETTERS, Sums, blocks, mix
+from .. import scratch
+from .tokens import LETTERS, Sums, blocks
 
 PIECE = 128
 SHINGLE = 5
@@ -189,8 +190,8 @@ def _share(part: np.ndarray, within: np.ndarray) -> float:
 def _search_rows(index: Index, threshold: float, overlap: float):
     def rows(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out: list[list] = [[], [], [], [], [], [], []]
+            ids, marks = batch.column("doc_id"), batch.column("mark")
+            out: list[list] = [[], [], [], [], [], []]
             for b in blocks(batch.column("text")):
                 b.words(LETTERS)
                 word = b.hashes()
@@ -206,29 +207,39 @@ def _search_rows(index: Index, threshold: float, overlap: float):
                     for piece, score in found:
                         question, answer = (_share(part, within) for part in index.parts[piece])
                         if question >= overlap and answer >= overlap:
-                            for column, value in zip(out, (ids[b.rows.start + d], b.rows.start + d, index.items[piece], number * PIECE, score, question, answer), strict=True):
+                            for column, value in zip(out, (b.rows.start + d, index.items[piece], number * PIECE, score, question, answer), strict=True):
                                 column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), *(pa.array(c, pa.float64()) for c in out[4:])], names=["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])
+            row = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(row), marks.take(row), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), *(pa.array(c, pa.float64()) for c in out[3:])], names=["doc_id", "mark", "item_id", "word", "score", "question_overlap", "answer_overlap"])
 
     return rows
 
 
-SCHEMA = "doc_id long, item_id long, word long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, mark int, item_id long, word long, score double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
-    """One row for each verified pair: doc_id, item_id, word (of the best passage), score, overlaps."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+def found(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, items: int) -> DataFrame:
+    """Verified (passage, piece) pairs; ``mark`` is a hash of the document's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.lower("text").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    parts = max(1, -(-benchmark.count() // items))
-    found = None
+    parts, out = max(1, -(-benchmark.count() // items)), None
     for k in range(parts):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
         index = Index(sorted(((r.item_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         if index.items:
             one = docs.mapInArrow(_search_rows(index, threshold, overlap), SCHEMA)
-            found = one if found is None else found.union(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+            out = one if out is None else out.union(one)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
+    """One row for each verified pair: doc_id, item_id, word (of the best passage), score, overlaps."""
     best = F.max(F.struct("score", (-F.col("word")).alias("back"), "question_overlap", "answer_overlap")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("word"), "best.score", "best.question_overlap", "best.answer_overlap")
+    pairs = found(docs, benchmark, threshold, overlap, items).groupBy("doc_id", "mark", "item_id").agg(best)
+    return pairs.select("doc_id", "item_id", (-F.col("best.back")).alias("word"), "best.score", "best.question_overlap", "best.answer_overlap")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
+    """The rows of ``docs`` that hold no item. The list of the others is kept, and broadcast if it is small."""
+    bad = scratch.keep(found(docs, benchmark, threshold, overlap, items).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_bad")).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_bad")), "left_anti")

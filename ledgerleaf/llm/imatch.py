@@ -98,8 +98,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         place = F.lit(0)
     placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place))
     firsts = placed.filter("doc_id is not null").groupBy("range").agg(F.min("doc_id").alias("first")).orderBy("range").collect()
-    guests = [(r.first, firsts[k - 1].range) for k, r in enumerate(firsts)]
-    of = docs.sparkSession.createDataFrame(guests, "first long, before int")  # a row for each range, at most RANGES
+    guests = ",".join(f"{r['first']}:{firsts[k - 1]['range']}" for k, r in enumerate(firsts))  # one for each range, at most RANGES
+    pair = F.split("pair", ":")
+    of = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(guests), ",")).alias("pair")).filter("pair <> ''").select(pair[0].cast("long").alias("first"), pair[1].cast("int").alias("before"))
     both = placed.join(F.broadcast(of), F.col("doc_id") == F.col("first"), "left")
     own = F.struct(F.col("range"), F.lit(False).alias("guest"))
     stays = F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))))

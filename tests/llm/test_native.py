@@ -10,7 +10,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def python_plans(df):
-    return [w for w in ("Python", "Pandas", "Arrow", "ExistingRDD") if w in df._jdf.queryExecution().executedPlan().toString()]
+    return [w for w in ("Python", "Pandas", "Arrow") if w in df._jdf.queryExecution().executedPlan().toString()]
 
 
 def test_mix(make, odd_rows):
