@@ -64,7 +64,7 @@ def fit(examples: DataFrame, size: int, bias: int, epochs: int, balance: float =
 
     def train(batches):
         rows = [r for b in batches for r in zip(b.column("key").to_pylist(), b.column("y").to_pylist(), b.column("at"), b.column("x"), strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1]))
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2].values.to_numpy().tobytes()))
         model, shuffled = Ftrl(size, **how), np.random.default_rng(7)
         data = [(np.append(a.values.to_numpy(), bias), np.append(x.values.to_numpy(), 1.0), y) for _, y, a, x in rows]
         for _ in range(epochs):
