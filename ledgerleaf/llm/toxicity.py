@@ -70,8 +70,25 @@ def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[new], d[new]
 
 
+class Set:
+    """Hashes to look up: a bitmap of their first bits, then the hashes themselves."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.bits = hashes, np.zeros(1 << 20, bool)
+        self.bits[(hashes >> _U(44)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.bits[(h >> _U(44)).astype(np.int64)])
+        return maybe[np.isin(h[maybe], self.hashes)]
+
+
 def induce(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
-    """Features of labelled texts that stand in toxic ones above all, ``most`` at the most."""
+    """Features of labelled texts that stand in toxic ones alone, or nearly, ``most`` at the most.
+
+    A feature must be in more toxic texts than any would be by chance (of all features seen,
+    less than one), and in a hundredth of them or so; equal texts count once.
+    """
+    sample = sample.dropDuplicates(["text"])
 
     def counts(batches):
         for batch in batches:
@@ -83,22 +100,28 @@ def induce(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(seen)).astype(np.float64))], names=["feature", "toxic", "n"])
 
     found = sample.mapInArrow(counts, "feature long, toxic double, n double").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    picked = found.filter("toxic >= 2 and toxic / (n + 0.5) >= 0.75").orderBy(F.desc(F.col("toxic") / (F.col("n") + 0.5)), F.desc("toxic"), "feature").limit(most)
+    found = scratch.keep(found, "features")
+    texts, toxic = sample.agg(F.count(F.lit(1)), F.sum((F.col("y") >= 0.5).cast("int"))).first()
+    if not toxic:
+        return np.zeros(0, _U)
+    chance = np.log(max(2, found.count())) / -np.log(min(0.9, toxic / texts))
+    least = max(3, int(np.ceil(chance)), int(np.ceil(0.015 * toxic)))
+    picked = found.filter((F.col("toxic") >= least) & (F.col("toxic") / (F.col("n") + 0.5) >= 0.85)).orderBy(F.desc(F.col("toxic") / (F.col("n") + 0.5)), F.desc("toxic"), "feature").limit(most)
     return picked.select("feature").toArrow().column("feature").to_numpy().view(np.uint64)
 
 
-def _votes(block: Block, induced: np.ndarray, fixed: list[np.ndarray]) -> np.ndarray:
+def _votes(block: Block, induced: Set, fixed: list[Set]) -> np.ndarray:
     """The voters that fire for each text, as bits."""
     h, d = features(block)
     out = np.zeros(len(block.rows), np.int64)
     strikes = [np.zeros(len(out), bool), np.zeros(len(out), bool)]
-    hit = np.isin(h, induced, kind="sort") if len(induced) else np.zeros(len(h), bool)
+    hit = induced.places(h)
     for feature, doc in zip(h[hit], d[hit], strict=True):
         pattern = int(feature) & 7 > 0
         out[doc] |= 1 << (int(mix(np.array([feature]))[0] >> _U(20)) % (_INDUCED // 2) + pattern * (_INDUCED // 2))
         strikes[pattern][doc] = True
     for bit, words in zip(_FIXED, fixed, strict=True):
-        at = d[np.isin(h, words, kind="sort")]
+        at = d[words.places(h)]
         out[at] |= 1 << bit
         strikes[0][at] = True
     for bit, struck in zip(_CLEAN, strikes, strict=True):
@@ -146,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, posteriors:
     """
     texts = _lower(docs.select("doc_id", "text"))
     seen = scratch.keep(labelled(texts, labels, "toxic", remainder("doc_id", 4) == 2, sample), "toxic")
-    induced, fixed = induce(seen), [_word_hash(NOUNS) & ~_U(7), _word_hash(ADJECTIVES) & ~_U(7)]
+    induced, fixed = Set(induce(seen)), [Set(_word_hash(words) & ~_U(7)) for words in (NOUNS, ADJECTIVES)]
 
     def votes(batches):
         for batch in batches:
@@ -157,10 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, posteriors:
     counted = texts.select("text").mapInArrow(votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     patterns, n = (counted.column(c).to_numpy() for c in ("pattern", "n"))
     prior = seen.agg(F.avg("y")).first()[0] or 0.05
-    post = dict(zip(patterns.tolist(), label_model(patterns, n, prior).tolist(), strict=True))
+    model = label_model(patterns, n, prior)
+    post = dict(zip(patterns.tolist(), model.tolist(), strict=True))
 
     total = max(1, int(n.sum()))
     share = min(1.0, posteriors / total)
+    l1 = float(np.clip(0.0075 * share * (n @ model), 0.5, 10))  # three quarters of the sample are not held out
     chosen = texts.filter((remainder("doc_id", 4) != 2) & (F.pmod(F.xxhash64("doc_id", F.lit("posterior")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).limit(2 * posteriors)
 
     def examples(batches):
@@ -177,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, posteriors:
                     names=["key", "y", "at", "x"],
                 )
 
-    return fit(chosen.mapInArrow(examples, EXAMPLE), BIAS + 1, BIAS, epochs=3, alpha=0.5, l1=1.0)
+    return fit(chosen.mapInArrow(examples, EXAMPLE), BIAS + 1, BIAS, epochs=4, alpha=0.5, l1=l1)
 
 
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
