@@ -5,9 +5,10 @@ by the score the piece gives itself, so 1 is a whole match and one threshold sui
 long items. Postings lie in blocks of pieces with the largest impact of each block. Every
 passage of every document (windows of ``2 * PIECE`` words, one for each ``PIECE``: any
 stretch of ``PIECE`` words lies whole in one) is a query; all pieces that score above the
-threshold are retrieved. The bounds that WAND would test first, over whole lists and then
-over blocks, are taken for all passages at once with prefix arrays; the cursor loop runs for
-passages that get past both.
+threshold are retrieved. A piece's essential terms are its strongest, ``ESSENTIAL`` of its
+score together; a passage can only reach the threshold if it holds enough of their score, and
+this bound is taken for all passages at once. Passages that pass it go through the cursor
+loop of block-max WAND: pivots by the largest impacts of lists, skips by those of blocks.
 
 A piece found counts as a leak if the passage holds at least ``OVERLAP`` of the five-word
 shingles of its question (the first two thirds) and of its answer (the rest); words are
@@ -22,6 +23,7 @@ An item set beyond ``ITEMS`` goes through in parts of about that size, one pass
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 from .. import scratch
 from .tokens import LETTERS, Sums, blocks
 
-PIECE = 128
+PIECE = 64
 SHINGLE = 5
 OVERLAP = 0.8
-THRESHOLD = 0.6
+THRESHOLD = 0.7
+ESSENTIAL = 0.6
 ITEMS = 20000
 GROUP = 16
 K1, B = 1.2, 0.75
@@ -96,91 +99,100 @@ class Index:
         order = np.lexsort((piece, term))
         self.piece, self.impact = piece[order], impact[order]
         self.limit = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.most = np.maximum.reduceat(self.impact, self.limit[:-1])
-        block = self.piece // GROUP
-        key = term[order] * (n // GROUP + 1) + block
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        self.block, self.block_most = block[new], np.maximum.reduceat(self.impact, new)
-        self.block_limit = np.searchsorted(term[order][new], np.arange(len(self.terms) + 1))
-        self.blocks = n // GROUP + 1
-        size = 1 << max(12, int(len(self.terms) * 8).bit_length())
-        self.shift = _U(64 - size.bit_length() + 1)
-        self.slots = np.zeros(size, bool)
-        self.slots[(self.terms >> self.shift).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, terms) of the words that the index has."""
-        maybe = np.flatnonzero(self.slots[(hashes >> self.shift).astype(np.int64)])
-        at = np.searchsorted(self.terms, hashes[maybe])
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == hashes[maybe]
-        return maybe[hit], at[hit]
+        self.lists: dict[int, tuple] = {}
+        # the strongest postings of each piece, until they hold the essential part of its score
+        order = np.lexsort((-impact, piece))
+        first = np.searchsorted(piece[order], np.arange(n + 1))
+        sums = np.concatenate([[0.0], np.cumsum(impact[order])])
+        strong = order[sums[:-1] - sums[first[piece[order]]] < ESSENTIAL]
+        strong = strong[np.lexsort((piece[strong], term[strong]))]
+        self.strong_piece, self.strong_impact = piece[strong], impact[strong]
+        self.strong_limit = np.searchsorted(term[strong], np.arange(len(self.terms) + 1))
+        self.weak = 1 - np.bincount(self.strong_piece, self.strong_impact, n)
+        self.strong_terms = np.flatnonzero(np.diff(self.strong_limit))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.terms[self.strong_terms] >> _U(44)).astype(np.int64)] = True
+
+    def postings(self, t: int) -> tuple[list, list, dict, float]:
+        """Pieces, impacts, largest impact of each block and of all, of a term's list."""
+        if t not in self.lists:
+            piece, impact = (x[self.limit[t] : self.limit[t + 1]].tolist() for x in (self.piece, self.impact))
+            blocks: dict[int, float] = {}
+            for k, s in zip(piece, impact, strict=True):
+                blocks[k // GROUP] = max(s, blocks.get(k // GROUP, 0.0))
+            self.lists[t] = (piece, impact, blocks, max(impact))
+        return self.lists[t]
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND over the lists of distinct terms: all (piece, score) from the threshold up."""
-        lists = [(self.piece[self.limit[t] : self.limit[t + 1]], self.impact[self.limit[t] : self.limit[t + 1]], dict(zip(self.block[self.block_limit[t] : self.block_limit[t + 1]].tolist(), self.block_most[self.block_limit[t] : self.block_limit[t + 1]].tolist(), strict=True)), float(self.most[t])) for t in terms]
-        cursor, out = [0] * len(lists), []
-        live = list(range(len(lists)))
+        lists = [self.postings(int(t)) for t in terms]
+        at, now, out = [0] * len(lists), [x[0][0] for x in lists], []
+        live, threshold = list(range(len(lists))), threshold - 1e-9
         while live:
-            live.sort(key=lambda j: lists[j][0][cursor[j]])
+            live.sort(key=now.__getitem__)
             bound, pivot = 0.0, None
             for j in live:
                 bound += lists[j][3]
-                if bound >= threshold - 1e-9:
-                    pivot = int(lists[j][0][cursor[j]])
+                if bound >= threshold:
+                    pivot = now[j]
                     break
             if pivot is None:
                 break
-            there = [j for j in live if lists[j][0][cursor[j]] <= pivot]
+            there = 0
+            while there < len(live) and now[live[there]] <= pivot:
+                there += 1
             block = pivot // GROUP
-            if sum(lists[j][2].get(block, 0.0) for j in there) < threshold - 1e-9:
-                others = [int(lists[j][0][cursor[j]]) for j in live if lists[j][0][cursor[j]] > pivot]
-                to = min([(block + 1) * GROUP, *others])
-            elif lists[there[0]][0][cursor[there[0]]] == pivot:
-                score = sum(float(lists[j][1][cursor[j]]) for j in there)
-                if score >= threshold - 1e-9:
+            if sum(lists[j][2].get(block, 0.0) for j in live[:there]) < threshold:
+                to = min((block + 1) * GROUP, now[live[there]] if there < len(live) else pivot + GROUP)
+            elif now[live[0]] == pivot:
+                score = sum(lists[j][1][at[j]] for j in live[:there])
+                if score >= threshold:
                     out.append((pivot, score))
                 to = pivot + 1
             else:
                 to = pivot
-            for j in there:
-                if lists[j][0][cursor[j]] < to:
-                    cursor[j] += int(np.searchsorted(lists[j][0][cursor[j] :], to))
-            live = [j for j in live if cursor[j] < len(lists[j][0])]
+            ended = False
+            for j in live[:there]:
+                if now[j] < to:
+                    pieces = lists[j][0]
+                    at[j] = bisect_left(pieces, to, at[j])
+                    ended |= at[j] == len(pieces)
+                    now[j] = pieces[at[j]] if at[j] < len(pieces) else -1
+            if ended:
+                live = [j for j in live if now[j] >= 0]
         return out
 
-    def candidates(self, place: np.ndarray, term: np.ndarray, doc: np.ndarray, local: np.ndarray, threshold: float):
-        """Passages (doc, number) and their distinct terms that pass both bounds."""
-        order = np.lexsort((local, term, doc))
-        d, t, at = doc[order], term[order], local[order]
-        same = np.append(False, (d[1:] == d[:-1]) & (t[1:] == t[:-1])) if len(d) else np.zeros(0, bool)
-        before = np.where(same, np.append(-1, at[:-1]), -1) if len(d) else at
-        own = at // PIECE
+    def candidates(self, word: np.ndarray, doc: np.ndarray, limit: np.ndarray, threshold: float) -> np.ndarray:
+        """(text, passage) of passages that hold enough of some piece's essential score."""
+        maybe = np.flatnonzero(self.bits[(word >> _U(44)).astype(np.int64)])
+        strong = self.terms[self.strong_terms]
+        at = np.minimum(np.searchsorted(strong, word[maybe]), len(strong) - 1)
+        hit = strong[at] == word[maybe]
+        place, term = maybe[hit], self.strong_terms[at[hit]]
+        d = doc[place]
+        order = np.lexsort((place, term, d))
+        d, t, local = d[order], term[order], (place - limit[d])[order]
+        before = np.full(len(d), -1)
+        if len(d):
+            same = (d[1:] == d[:-1]) & (t[1:] == t[:-1])
+            before[1:][same] = local[:-1][same]
         rows = []
-        for number in (own, own - 1):  # passage p holds the words from p * PIECE to (p + 2) * PIECE
+        for number in (local // PIECE, local // PIECE - 1):  # passage p holds the words from p * PIECE to (p + 2) * PIECE
             use = (number >= 0) & (before < number * PIECE)
             rows.append((d[use], number[use], t[use]))
         d, number, t = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if not len(d):
-            return
-        key = d.astype(np.int64) << 32 | number
-        passage, at = np.unique(key, return_inverse=True)
-        pass_one = np.bincount(at, self.most[t]) >= threshold - 1e-9
-        keep = pass_one[at]
-        at, t = at[keep], t[keep]
-        # the same bound within each block of pieces
-        size = self.block_limit[t + 1] - self.block_limit[t]
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.block_limit[t], size)
-        cell = np.repeat(at, size) * self.blocks + self.block[inner]
-        cells, where = np.unique(cell, return_inverse=True)
-        strong = np.unique(cells[np.bincount(where, self.block_most[inner]) >= threshold - 1e-9] // self.blocks) if len(cells) else cells
-        chosen = np.isin(at, strong)
-        at, t = at[chosen], t[chosen]
-        order = np.argsort(at, kind="stable")
-        at, t = at[order], t[order]
-        limit = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
-        for a, z in zip(limit, np.append(limit[1:], len(at)), strict=True):
-            yield int(passage[at[a]] >> 32), int(passage[at[a]] & 0xFFFFFFFF), t[a:z]
+        size = self.strong_limit[t + 1] - self.strong_limit[t]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.strong_limit[t], size)
+        piece = self.strong_piece[inner]
+        key = np.repeat(d << 32 | number, size) * len(self.weak) + piece
+        keys, where = np.unique(key, return_inverse=True)
+        enough = np.bincount(where, self.strong_impact[inner], len(keys)) >= threshold - self.weak[keys % len(self.weak)] - 1e-9
+        return np.unique(keys[enough] // len(self.weak))
+
+    def terms_of(self, words: np.ndarray) -> np.ndarray:
+        words = np.unique(words)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        return at[self.terms[at] == words]
 
 
 def _share(part: np.ndarray, within: np.ndarray) -> float:
@@ -195,14 +207,13 @@ def _search_rows(index: Index, threshold: float, overlap: float):
             for b in blocks(batch.column("text")):
                 b.words(LETTERS)
                 word = b.hashes()
-                place, term = index.find(word)
-                doc = b.doc[place]
-                for d, number, terms in index.candidates(place, term, doc, place - b.limit[doc], threshold):
-                    found = index.search(terms, threshold)
-                    if not found:
-                        continue
+                for passage in index.candidates(word, b.doc, b.limit, threshold).tolist():
+                    d, number = passage >> 32, passage & 0xFFFFFFFF
                     a = b.limit[d] + number * PIECE
                     h = word[a : min(a + 2 * PIECE, b.limit[d + 1])]
+                    found = index.search(index.terms_of(h), threshold)
+                    if not found:
+                        continue
                     within = np.unique(np.concatenate([Sums(h, "words").of(at := np.arange(max(0, len(h) - n + 1)), at + n) for n in range(1, SHINGLE + 1)]))
                     for piece, score in found:
                         question, answer = (_share(part, within) for part in index.parts[piece])
