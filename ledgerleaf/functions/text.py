@@ -94,7 +94,8 @@ def extension(name: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML entities of listings; ampersand last, so nothing is unescaped twice."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ENTITIES.items()))
+    return F.when(F.contains(text, F.lit("&")), F.aggregate(pairs, text, lambda acc, e: F.replace(acc, e.a, e.b))).otherwise(text)
 
 
 @F.udf(T.StringType(), useArrow=True)

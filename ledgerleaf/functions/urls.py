@@ -96,13 +96,17 @@ def is_sort_link(url: Column) -> Column:
     return F.coalesce((F.size(keys) > 0) & F.forall(keys, lambda k: k.isin(*SORT_KEYS)), F.lit(False))
 
 
-def under_prefix(url: Column, prefix: Column) -> Column:
-    """Within a site's scope: its host, a like port, below its path or the path itself."""
+def under_prefix(url: Column, prefix: Column, same: Column | None = None) -> Column:
+    """Within a site's scope: its host, a like port, below its path or the path itself.
+
+    ``same`` tells whether their canonical forms are equal, if that is known already.
+    """
+    same = canonical_url(url) == canonical_url(prefix) if same is None else same
     usual = lambda p: p.isNull() | p.isin(80, 443)
     ports = port(url).eqNullSafe(port(prefix)) | (usual(port(url)) & usual(port(prefix)))
     path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
     below = F.startswith(path, as_dir_url(part(prefix, 3)))
-    return (host(url) == host(prefix)) & ports & (below | (canonical_url(url) == canonical_url(prefix)))
+    return (host(url) == host(prefix)) & ports & (below | same)
 
 
 def relative_dir(url: Column, base: Column) -> Column:

@@ -1,7 +1,7 @@
 """The resume state as a stream's target: an extension, the batch merge is the engine's own.
 
-Each micro-batch of fetched records replaces the rows of its URLs in a snapshot folder; the
-pointer file names the snapshot that readers use, and moves once a new one is committed.
+Each micro-batch of fetched records replaces the rows of its URLs and writes a new snapshot
+folder; readers take the newest one that is committed.
 """
 
 from __future__ import annotations
@@ -15,14 +15,10 @@ from ..operators.incremental import merge_state
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
     """The newest committed snapshot, or None before the first."""
-    try:
-        marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{folder}/batch=*/").select("path")
-        newest = marks.agg(F.max(F.regexp_extract("path", r"batch=(\d+)/", 1).cast("long"))).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return None if newest is None else spark.read.parquet(f"{folder}/batch={newest:012d}")
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    newest = max((str(f.getPath().getParent().toString()) for f in found or []), default=None)
+    return None if newest is None else spark.read.parquet(newest)
 
 
 def upsert(records: DataFrame, folder: str, key: str = "canon", order: str = "fetched_at", checkpoint: str | None = None) -> StreamingQuery:
