@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..scratch import keep
 from .graph import components
 
 PROBE = 64 * 1024
@@ -14,12 +15,12 @@ PROBE = 64 * 1024
 def keep_first(rows: DataFrame, key: list[str], rank: list, kept: str = "kept", value: str = "doc_id") -> DataFrame:
     """``rows`` with ``kept``, the value of the first row of each key, and is_kept.
 
-    The first is found by an aggregate that is combined before the shuffle, then joined, so
-    a key with a large share of the rows is split by adaptive execution and never sorted in
-    one task.
+    The first is found by an aggregate that is combined before the shuffle, kept, and joined:
+    both sides of the join then come straight from a shuffle, where adaptive execution splits
+    a key with a large share of the rows. No group is sorted in one task.
     """
     first = rows.filter(F.concat(*(F.col(k).isNull().cast("string") for k in key)) == "false" * len(key)).groupBy(*key).agg(F.min_by(value, F.struct(*rank)).alias("_first"))
-    joined = rows.join(first, key, "left")
+    joined = rows.join(keep(first, "firsts"), key, "left")
     return joined.select(*rows.columns, F.coalesce("_first", value).alias(kept), F.coalesce(F.col("_first") == F.col(value), F.lit(True)).alias("is_kept"))
 
 

@@ -11,14 +11,14 @@ from ..scratch import keep
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour, or the node."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    star = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    star = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(star, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    star = down.groupBy("u").agg(F.min("v").alias("m"))
+    star = keep(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(star, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(star.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both are of one ordered type and not null. Nodes are dealt by hash, a node of many edges
     is joined to a single row of its own, and rounds (about the logarithm of a component's
-    size) go through kept tables, so nothing is gathered and lineage stays short.
+    size) go through kept tables, so nothing is gathered and lineage stays short. The rows
+    joined to are kept too: adaptive execution splits a hot key only where both sides of a
+    join come straight from a shuffle.
     """
     now = keep(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
