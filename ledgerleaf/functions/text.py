@@ -66,9 +66,9 @@ def granularity(n: Column) -> Column:
 
 def listing_date(text: Column) -> Column:
     """Timestamp of D-Mon-YYYY HH:MM (English, Portuguese) or else YYYY-MM-DD HH:MM."""
-    month = F.create_map(*(F.lit(v) for pair in MONTHS.items() for v in pair))
+    month = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in MONTHS.items())), F.lit(","), F.lit(":"))
     part = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
-    named = F.when(text.rlike(DAY_MONTH), F.try_make_timestamp(part(DAY_MONTH, 3), F.try_element_at(month, F.lower(F.regexp_extract(text, DAY_MONTH, 2))), part(DAY_MONTH, 1), part(DAY_MONTH, 4), part(DAY_MONTH, 5), F.lit(0)))
+    named = F.when(text.rlike(DAY_MONTH), F.try_make_timestamp(part(DAY_MONTH, 3), F.try_element_at(month, F.lower(F.regexp_extract(text, DAY_MONTH, 2))).cast("int"), part(DAY_MONTH, 1), part(DAY_MONTH, 4), part(DAY_MONTH, 5), F.lit(0)))
     plain = F.when(text.rlike(YEAR_FIRST), F.try_make_timestamp(*(part(YEAR_FIRST, i) for i in range(1, 6)), F.lit(0)))
     return F.coalesce(named, plain)
 
@@ -94,8 +94,9 @@ def extension(name: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML entities of listings; ampersand last, so nothing is unescaped twice."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ENTITIES.items()))
-    return F.when(F.contains(text, F.lit("&")), F.aggregate(pairs, text, lambda acc, e: F.replace(acc, e.a, e.b))).otherwise(text)
+    pairs = F.split(F.lit("\n".join(f"{a}\t{b}" for a, b in ENTITIES.items())), "\n")  # one constant, so plans stay small
+    one = lambda acc, e: F.replace(acc, F.substring_index(e, "\t", 1), F.substring_index(e, "\t", -1))
+    return F.when(F.contains(text, F.lit("&")), F.aggregate(pairs, text, one)).otherwise(text)
 
 
 @F.udf(T.StringType(), useArrow=True)
