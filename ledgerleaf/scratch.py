@@ -15,14 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: list = []
+_own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
+    """The shared folder; a temporary one of the driver's only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="ledgerleaf-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        here = spark.sparkContext.applicationId
+        at = _own.get(here) or _own.setdefault(here, tempfile.mkdtemp(prefix="ledgerleaf-"))
     return at.rstrip("/")
 
 
