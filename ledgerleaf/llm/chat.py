@@ -60,9 +60,10 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     jumps = [step.select("tree", "node", "up").filter("up is not null")]
     most = step.count()
     while not jumps[-1].isEmpty() and 1 << len(jumps) - 1 <= most:
-        a, b = step.alias("a"), step.alias("b")
-        joined = a.join(b, key("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-        step = scratch.keep(joined.select("a.tree", "a.node", "b.up", (F.col("a.score") + F.coalesce(F.col("b.score"), F.lit(0.0))).alias("score"), (F.col("a.far") + F.coalesce(F.col("b.far"), F.lit(0))).alias("far")), "steps")
+        a, b = step.filter("up is not null").alias("a"), step.alias("b")
+        joined = a.join(b, key("a", "b") & (F.col("a.up") == F.col("b.node")))
+        moved = joined.select("a.tree", "a.node", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.far") + F.col("b.far")).alias("far"))
+        step = scratch.keep(step.filter("up is null").union(moved), "steps")
         jumps.append(step.select("tree", "node", "up").filter("up is not null"))
     leaves = step.filter("up is null").alias("a").join(parents.alias("b"), key("a", "b") & (F.col("a.node") == F.col("b.node")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).filter(F.col("rank") <= top)
