@@ -104,14 +104,14 @@ def near_groups(docs: DataFrame, *carry: str) -> DataFrame:
     return found.join(of, "fp").select("doc_id", *carry, "fp", "group", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that of the least doc_id, then of the least text mark.
+def keep_first(docs: DataFrame, grouping=near_groups) -> DataFrame:
+    """One row of ``docs`` for each group of ``grouping``: that of the least doc_id, then of the least text mark.
 
     Rows are told apart by doc_id and a hash of the text; only if the table repeats a pair of
     them are the rows that stay shuffled once more to leave one of each.
     """
     marked = docs.withColumn("_mark", F.hash("text"))
-    groups = near_groups(marked, "_mark")
+    groups = grouping(marked, "_mark")
     least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_mark")).alias("least"))
     least = scratch.keep(least.select(F.col("least.doc_id").alias("_id"), F.col("least._mark").alias("_first")), "firsts")
     kept = marked.join(least, marked.doc_id.eqNullSafe(least._id) & (marked._mark == least._first), "left_semi")
