@@ -1,8 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of test items, block-max WAND, verification.
 
-Test items (in pieces of at most ``PIECE`` words) are indexed with BM25 impacts, each divided
-by the score the piece gives itself, so 1 is a whole match and one threshold suits short and
-long items. Postings lie in blocks of pieces with the largest impact of each block. Every
+Test items are indexed in pieces: an item of up to ``PIECE`` words is one, a longer one has a
+piece of ``PIECE`` words every ``STRIDE`` words and one at its end, so none is shorter. Pieces
+have BM25 impacts (document frequencies and mean length are those of items), each divided by
+the score the piece gives itself, so 1 is a whole match and one threshold suits short and long
+items. Postings lie in blocks of pieces with the largest impact of each block. Every
 passage of every document (windows of ``2 * PIECE`` words, one for each ``PIECE``: any
 stretch of ``PIECE`` words lies whole in one) is a query; all pieces that score above the
 threshold are retrieved. A piece's essential terms are its strongest, ``ESSENTIAL`` of its
@@ -11,13 +13,16 @@ this bound is taken for all passages at once. Passages that pass it go through t
 loop of block-max WAND: pivots by the largest impacts of lists, skips by those of blocks.
 
 A piece found counts as a leak if the passage holds at least ``OVERLAP`` of the five-word
-shingles of its question (the first two thirds) and of its answer (the rest); words are
-compared in lower case without signs.
+shingles of the question (the first two thirds) and of the answer (the rest) of an item's
+stretch of ``PIECE`` words (of the whole item, if it is shorter). Every stretch that starts
+less than ``STRIDE`` words from the piece is tried, so quotes count wherever in the item they
+begin; words are compared in lower case without signs.
 
 Cases: null, empty and wordless texts match nothing, and such items can't be found; an item
 listed twice is found under both rows' ids; repeated documents are found each; a null doc_id
 is reported as null; an empty table on either side gives no rows; other columns are ignored.
-An item set beyond ``ITEMS`` goes through in parts of about that size, one pass each.
+An item set beyond ``ITEMS`` items or ``PIECES`` pieces goes through in parts of about that
+size, one pass each.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ from .. import scratch
 from .tokens import LETTERS, Sums, blocks
 
 PIECE = 64
+STRIDE = 8
 SHINGLE = 5
 OVERLAP = 0.8
 THRESHOLD = 0.7
 ESSENTIAL = 0.6
 ITEMS = 20000
+PIECES = 100000
 GROUP = 16
 K1, B = 1.2, 0.75
 _U = np.uint64
@@ -64,26 +71,24 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(Sums(hashes, "words").of(at, np.minimum(at + SHINGLE, len(hashes)))) if len(hashes) else np.zeros(0, _U)
 
 
+def starts(n: int) -> list[int]:
+    """The first word of each piece of an item of n words."""
+    return [*range(0, n - PIECE, STRIDE), n - PIECE] if n > PIECE else [0] * (n > 0)
+
+
 class Index:
     """Postings of pieces by impact, in blocks of ``GROUP`` pieces."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        pieces = []
-        for item, text in items:
-            words = _words(text)
-            for a in range(0, len(words), PIECE):
-                if a and len(words) - a < SHINGLE:
-                    continue  # too little to tell; the piece before it stands for the item
-                pieces.append((item, _hash(words[a : a + PIECE])))
-        self.items = [i for i, _ in pieces]
-        self.parts = []
-        for _, h in pieces:
-            cut = max(1, -(-2 * len(h) // 3)) if len(h) >= 2 * SHINGLE else len(h)
-            self.parts.append((shingles(h[:cut]), shingles(h[cut:])))
+        known = [(item, _hash(words)) for item, text in items if (words := _words(text))]
+        self.words = [h for _, h in known]
+        self.at = [(k, a) for k, h in enumerate(self.words) for a in starts(len(h))]
+        self.items = [known[k][0] for k, _ in self.at]
+        pieces = [self.words[k][a : a + PIECE] for k, a in self.at]
         n = len(pieces)
-        self.terms = np.unique(np.concatenate([h for _, h in pieces])) if n else np.zeros(0, _U)
+        self.terms = np.unique(np.concatenate(pieces)) if n else np.zeros(0, _U)
         rows, cols, counts = [], [], []
-        for k, (_, h) in enumerate(pieces):
+        for k, h in enumerate(pieces):
             t, c = np.unique(np.searchsorted(self.terms, h), return_counts=True)
             rows.append(t)
             cols.append(np.full(len(t), k))
@@ -91,10 +96,11 @@ class Index:
         if not n:
             return
         term, piece, tf = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts).astype(float)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df = np.bincount(np.searchsorted(self.terms, np.concatenate([np.unique(h) for h in self.words])), minlength=len(self.terms))
+        mean = sum(min(len(h), PIECE) for h in self.words) / len(self.words)
+        idf = np.log(1 + (len(self.words) - df + 0.5) / (df + 0.5))
         length = np.bincount(piece, tf, n)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / length.mean()))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / mean))
         impact /= np.bincount(piece, impact, n)[piece]
         order = np.lexsort((piece, term))
         self.piece, self.impact = piece[order], impact[order]
@@ -113,6 +119,18 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.terms[self.strong_terms] >> _U(44)).astype(np.int64)] = True
 
+    def overlaps(self, piece: int, within: np.ndarray) -> tuple[float, float]:
+        """Shares of the question and of the answer that are in ``within``, of the best stretch about a piece."""
+        k, at = self.at[piece]
+        words, best = self.words[k], (-1.0, -1.0)
+        size = min(PIECE, len(words))
+        cut = -(-2 * size // 3) if size >= 2 * SHINGLE else size
+        for a in range(max(0, at - STRIDE + 1), min(len(words) - size, at + STRIDE - 1) + 1):
+            shares = _share(shingles(words[a : a + cut]), within), _share(shingles(words[a + cut : a + size]), within)
+            if (min(shares), sum(shares)) > (min(best), sum(best)):
+                best = shares
+        return best
+
     def postings(self, t: int) -> tuple[list, list, dict, float]:
         """Pieces, impacts, largest impact of each block and of all, of a term's list."""
         if t not in self.lists:
@@ -216,7 +234,7 @@ def _search_rows(index: Index, threshold: float, overlap: float):
                         continue
                     within = np.unique(np.concatenate([Sums(h, "words").of(at := np.arange(max(0, len(h) - n + 1)), at + n) for n in range(1, SHINGLE + 1)]))
                     for piece, score in found:
-                        question, answer = (_share(part, within) for part in index.parts[piece])
+                        question, answer = index.overlaps(piece, within)
                         if question >= overlap and answer >= overlap:
                             for column, value in zip(out, (b.rows.start + d, index.items[piece], number * PIECE, score, question, answer), strict=True):
                                 column.append(value)
@@ -233,7 +251,9 @@ def found(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: floa
     """Verified (passage, piece) pairs; ``mark`` is a hash of the document's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.lower("text").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    parts, out = max(1, -(-benchmark.count() // items)), None
+    words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
+    n, pieces = benchmark.agg(F.count(F.lit(1)), F.sum(F.ceil(F.greatest(words - PIECE, F.lit(0)) / STRIDE) + 1)).first()
+    parts, out = max(1, -(-n // items), -(-(pieces or 0) // PIECES)), None
     for k in range(parts):
         some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
         index = Index(sorted(((r.item_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
