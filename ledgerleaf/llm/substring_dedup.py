@@ -8,16 +8,21 @@ have equal minimizers, so all occurrences of an edge meet under one key.
 * Paths of one minimizer that read the same words are one class. A class of two paths or more
   is compact: it stands for all its edges at once, wherever its paths lie.
 * Where a minimizer also has a class of a single path, the graph branches: one path of each
-  class there is cut into single edges, which are counted by two independent 64-bit hashes
-  read at their source coordinates.
+  class there is cut into single edges, which are read again at their source coordinates
+  and counted.
 
+Minimizers only bring paths together; paths and edges are equal if their words are, by a
+128-bit BLAKE2 digest of the words' bytes as they stand at the path's coordinates.
 Coordinates (document, first window, windows) then mark the words that repeated edges cover.
 Rows: one record for each minimizer (about two for every k - m + 2 words), never a window
-for each word, unless a path branches.
+for each word, unless a path branches. Sides that joins look up are written first, so
+adaptive execution can split a minimizer or a path with a large share of the rows.
 
 Cases: null or empty text has no words (n_words 0, kept text empty); texts under ``k`` words
-keep all; repeated rows are separate documents and so repeat each other; a null doc_id is a
-document like any other; an empty table gives no rows; other columns are ignored.
+keep all; a long text is a block of its own, in memory proportional to it; repeated rows are
+separate documents and so repeat each other; a null doc_id is a document like any other, and
+documents that share one are told apart by their text; there are no ties, since all windows
+are judged on the input; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .tokens import Sums, blocks, mix
+from .rows import identity
+from .tokens import Sums, blocks
 
 WINDOW = 35
 MINIMIZER = 8
@@ -48,12 +54,13 @@ def least(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def paths(block, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """Text, first window, windows, minimizer and hash of each path of a block."""
+    """Text, first window, windows, minimizer and digest of each path of a block."""
     block.words()
     word = block.hashes()
     n = len(word)
     if n < k:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.reshape(0, 2)
     sums = Sums(word, "words")
     at = np.arange(n - m + 1)
     gram = sums.of(at, at + m)
@@ -65,47 +72,44 @@ def paths(block, k: int, m: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     number = np.cumsum(new)[valid]
     count = np.bincount(number, minlength=len(first) + 1)[1:] if len(first) else np.zeros(0, np.int64)
-    check = Sums(mix(word ^ np.uint64(0x5851F42D4C957F2D)), "check").of(first, first + count + k - 1)
-    return block.doc[first], first - block.limit[block.doc[first]], count, gram[place[first]].view(np.int64), check.view(np.int64)
+    return block.doc[first], first - block.limit[block.doc[first]], count, gram[place[first]].view(np.int64), block.digests(first, first + count + k - 1)
 
 
 def path_rows(k: int, m: int):
     def rows(batches):
         for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("mark")
-            for b in blocks(batch.column("text")):
-                doc, start, count, gram, check = paths(b, k, m)
+            a, b = batch.column("a"), batch.column("b")
+            for block in blocks(batch.column("text")):
+                doc, start, count, gram, digest = paths(block, k, m)
                 if len(doc):
-                    at = pa.array(doc + b.rows.start)
+                    at = pa.array(doc + block.rows.start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram), pa.array(check), ids.take(at), marks.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        names=["gram", "check", "doc_id", "mark", "start", "n"],
+                        [pa.array(gram), pa.array(digest[:, 0]), pa.array(digest[:, 1]), a.take(at), b.take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                        names=["gram", "one", "two", "a", "b", "start", "n"],
                     )
 
     return rows
 
 
 def edge_rows(k: int):
-    """Single edges of the branching paths, each with two hashes and its coordinate."""
+    """Single edges of the branching paths, each with the digest of its words and its coordinate."""
 
     def rows(batches):
         for batch in batches:
-            ids, marks, found = batch.column("doc_id"), batch.column("mark"), batch.column("paths")
-            for b in blocks(batch.column("text")):
-                b.words()
-                word = b.hashes()
-                one, two = Sums(word, "words"), Sums(mix(word ^ np.uint64(0x5851F42D4C957F2D)), "check")
+            a, b, found = batch.column("a"), batch.column("b"), batch.column("paths")
+            for block in blocks(batch.column("text")):
+                block.words()
                 where, docs = [], []
-                for i, row in enumerate(b.rows):
+                for i, row in enumerate(block.rows):
                     for p in found[row].as_py():
-                        where.append(np.arange(p["start"], p["start"] + p["n"]) + b.limit[i])
+                        where.append(np.arange(p["start"], p["start"] + p["n"]) + block.limit[i])
                         docs.append(np.full(p["n"], row))
                 if where:
                     at, doc = np.concatenate(where), np.concatenate(docs)
-                    local = at - b.limit[doc - b.rows.start]
+                    digest, local = block.digests(at, at + k), at - block.limit[doc - block.rows.start]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one.of(at, at + k).view(np.int64)), pa.array(two.of(at, at + k).view(np.int64)), ids.take(pa.array(doc)), marks.take(pa.array(doc)), pa.array(local.astype(np.int32)), pa.array(np.ones(len(at), np.int32))],
-                        names=["one", "two", "doc_id", "mark", "start", "n"],
+                        [pa.array(digest[:, 0]), pa.array(digest[:, 1]), a.take(pa.array(doc)), b.take(pa.array(doc)), pa.array(local.astype(np.int32)), pa.array(np.ones(len(at), np.int32))],
+                        names=["one", "two", "a", "b", "start", "n"],
                     )
 
     return rows
@@ -142,27 +146,29 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Data
 
     ``k``: words of a window; ``m``: words of a minimizer, less than k.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"))
-    whole = "doc_id long, mark int, start int, n int"
-    found = scratch.keep(docs.mapInArrow(path_rows(k, m), f"gram long, check long, {whole}"), "paths")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
+    a, b = identity()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b"))
+    whole = "one long, two long, a long, b long, start int, n int"
+    found = scratch.keep(docs.select("a", "b", "text").mapInArrow(path_rows(k, m), f"gram long, {whole}"), "paths")
+    twice = scratch.keep(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram"), "twice")
     repeated = scratch.keep(found.join(twice, "gram"), "repeated")
 
-    key, item = ("doc_id", "mark"), F.struct("start", "n")
-    classes = repeated.groupBy("gram", "check").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*key, "start", "n")).alias("first"))
+    key, path, item = ("a", "b"), ("one", "two"), F.struct("start", "n")
+    classes = repeated.groupBy("gram", *path).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*key, "start", "n")).alias("first"))
     classes = scratch.keep(classes, "classes")
-    compact = repeated.join(classes.filter("times > 1").select("gram", "check"), ["gram", "check"])
-    branching = classes.join(classes.filter("times = 1").select("gram").distinct(), "gram").select("first.*")
+    compact = repeated.drop("gram").join(classes.filter("times > 1").select(*path), [*path])
+    branches = scratch.keep(classes.filter("times = 1").select("gram").distinct(), "branches")
+    branching = classes.join(branches, "gram").select("first.*")
 
     def of(side: DataFrame) -> DataFrame:
         """Documents beside what there is of each; the shuffle of the texts is planned once and used again."""
-        side = side.withColumnsRenamed({"doc_id": "its_id", "mark": "its_mark"})
-        return docs.join(side, docs.doc_id.eqNullSafe(side.its_id) & docs.mark.eqNullSafe(side.its_mark), "left").select("doc_id", "mark", "text", side.columns[-1])
+        side = side.withColumnsRenamed({"a": "its_a", "b": "its_b"})
+        return docs.join(side, (docs.a == side.its_a) & (docs.b == side.its_b), "left").select("doc_id", "a", "b", "text", side.columns[-1])
 
     paths_of = branching.groupBy(*key).agg(F.collect_list(item).alias("paths"))
-    edges = of(paths_of).filter("paths is not null").mapInArrow(edge_rows(k), f"one long, two long, {whole}")
-    again = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one", "two")
-    single = edges.join(again, ["one", "two"])
+    edges = of(paths_of).filter("paths is not null").select("a", "b", "text", "paths").mapInArrow(edge_rows(k), whole)
+    again = scratch.keep(edges.groupBy(*path).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*path), "again")
+    single = edges.join(again, [*path])
     spans = [side.groupBy(*key).agg(F.collect_set(item).alias("spans")) for side in (compact, single)]
     spans = spans[0].unionByName(spans[1]).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return of(spans).mapInArrow(kept_rows(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return of(spans).select("doc_id", "text", "spans").mapInArrow(kept_rows(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -1,20 +1,26 @@
 """Word hashes of whole texts, vectorised over the buffers of Arrow batches.
 
 Texts are taken in blocks of about ``BLOCK`` bytes (a longer text is a block of its own), so
-memory follows the block and not the batch. A word's hash is a polynomial over its bytes,
-read from prefix sums, then mixed; nothing here loops over words in Python.
+memory follows the block and not the batch. A word's hash is made from its bytes, eight at a
+time, each step a bijection that spreads every bit; words of up to eight bytes so have no
+equal hash at all, and words beyond ``LONG`` bytes go through BLAKE2. Hashes of several
+words are polynomials over these, read from prefix sums. Where equal hashes must mean equal
+words, ``Block.digests`` reads the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+LONG = 64
 _U = np.uint64
-_BASES = {"bytes": 0x9E3779B97F4A7C15, "words": 0xD6E8FEB86659FD93, "check": 0xA24BAED4963EE407}
+_BASES = {"words": 0xD6E8FEB86659FD93, "check": 0xA24BAED4963EE407}
+_LANES = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACES = np.zeros(256, bool)
@@ -28,8 +34,7 @@ NOT_SPACE = ~SPACES
 def powers(name: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n or more powers of a base modulo 2**64, and of its inverse."""
     if name not in _powers or len(_powers[name][0]) < n:
-        size = max(BLOCK + 2, n) if name == "bytes" else max(1 << 18, n)
-        base = _BASES[name]
+        size, base = max(1 << 18, n), _BASES[name]
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, _U)
@@ -50,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Sums:
-    """Prefix sums that give the hash of any stretch of a sequence."""
+    """Prefix sums that give the hash of any stretch of a sequence of hashes."""
 
     def __init__(self, values: np.ndarray, name: str):
         self.power, self.inverse = powers(name, len(values) + 1)
@@ -61,6 +66,33 @@ class Sums:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U))
 
 
+class Stretches:
+    """Hashes of stretches of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
+        out = mix(mix(length.astype(_U)) ^ (self.lanes[start] & _LANES[np.minimum(length, 8)]))
+        for at in range(8, LONG, 8):
+            more = np.flatnonzero(length > at)
+            if not len(more):
+                return out
+            out[more] = mix(out[more] ^ (self.lanes[start[more] + at] & _LANES[np.minimum(length[more] - at, 8)]))
+        for i in np.flatnonzero(length > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The hashes that blocks give these words."""
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
+    return Stretches(np.frombuffer(b"".join(words), np.uint8)).of(starts, ends)
+
+
 class Block:
     """Consecutive texts: ``data`` their bytes, ``first`` their limits in it, ``rows`` their place in the batch."""
 
@@ -84,15 +116,31 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.rows)), np.diff(self.limit))
 
     def hashes(self) -> np.ndarray:
-        self.sums = Sums(self.data.astype(_U) + _U(1), "bytes")
-        return self.sums.of(self.start, self.end)
+        self.bytes = Stretches(self.data)
+        return self.bytes.of(self.start, self.end)
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128 bits, as two columns, of the words from ``first`` up to ``last``, each with one space after it.
+
+        BLAKE2 over the words' own bytes, so two stretches that agree read the same words.
+        """
+        length = self.end - self.start
+        after = np.cumsum(length + 1)
+        told = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
+        shift = after - length - 1 - self.start
+        source = np.arange(int(length.sum())) + np.repeat(self.start - np.cumsum(length) + length, length)
+        told[source + np.repeat(shift, length)] = self.data[source]
+        view, digest = memoryview(told), hashlib.blake2b
+        a, z = (after - length - 1)[first].tolist(), after[last - 1].tolist()
+        out = b"".join([digest(view[i:j], digest_size=16).digest() for i, j in zip(a, z, strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     """The texts of an Arrow column in order; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary())
+    column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
