@@ -11,7 +11,8 @@ that the table drops; a flip has at most as many senders as there are such bits,
 Equal fingerprints are one node throughout, so groups of copies cost one row.
 
 Cases: null and empty texts have fingerprint zero, linked like any other; texts of one or
-two words are a single shingle; repeated rows and repeated doc_ids are rows of their own;
+two words are a single shingle; the counts of a long text run in pieces; a bit set in just
+half of the hashes (a tie) is 0; repeated rows and repeated doc_ids are rows of their own;
 a null doc_id has a component but is never its name unless nothing else is in it; an empty
 table gives no rows; other columns are ignored.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators.graph import components
+from .rows import identity, unused
 
 SHINGLE = 3
 SEED = 42
@@ -79,7 +81,7 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct fingerprints ``fp`` within two bits."""
     tables = masks(RADIUS)
     keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bucket")) for i, m in enumerate(tables)))).alias("k")).select("fp", "k.*")
-    shared = keyed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("table", "bucket")
+    shared = scratch.keep(keyed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("table", "bucket"), "buckets")
     flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << i)) for i in range(64) if not m >> i & 1)) for m in tables))
     near = (
         keyed.join(shared, ["table", "bucket"])
@@ -105,16 +107,20 @@ def near_groups(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, grouping=near_groups) -> DataFrame:
-    """One row of ``docs`` for each group of ``grouping``: that of the least doc_id, then of the least text mark.
+    """One row of ``docs`` for each group of ``grouping``: that of the least doc_id (null last), then of the least hash.
 
-    Rows are told apart by doc_id and a hash of the text; only if the table repeats a pair of
-    them are the rows that stay shuffled once more to leave one of each.
+    Rows are told apart by 128 bits of (doc_id, text); only if the table repeats a row's doc_id
+    and text are the rows that stay shuffled once more to leave one of each. All columns of
+    ``docs`` stay as they are, whatever their names.
     """
-    marked = docs.withColumn("_mark", F.hash("text"))
-    groups = grouping(marked, "_mark")
-    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_mark")).alias("least"))
-    least = scratch.keep(least.select(F.col("least.doc_id").alias("_id"), F.col("least._mark").alias("_first")), "firsts")
-    kept = marked.join(least, marked.doc_id.eqNullSafe(least._id) & (marked._mark == least._first), "left_semi")
-    if not groups.groupBy("doc_id", "_mark").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_mark"])
-    return kept.select(*docs.columns)
+    a, b = identity()
+    bare = docs.select("doc_id", a.alias("row_a"), b.alias("row_b"), "text")
+    groups = grouping(bare, "row_a", "row_b")
+    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_a", "row_b")).alias("least"))
+    least = scratch.keep(least.select("least.row_a", "least.row_b"), "firsts")
+    one, two = unused(docs.columns, "row_a", "row_b")
+    marked = docs.withColumns({one: a, two: b})
+    kept = marked.join(least.select(F.col("row_a").alias(one), F.col("row_b").alias(two)), [one, two], "left_semi")
+    if not groups.groupBy("row_a", "row_b").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([one, two])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
