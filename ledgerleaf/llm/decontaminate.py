@@ -20,9 +20,12 @@ begin; words are compared in lower case without signs.
 
 Cases: null, empty and wordless texts match nothing, and such items can't be found; an item
 listed twice is found under both rows' ids; repeated documents are found each; a null doc_id
-is reported as null; an empty table on either side gives no rows; other columns are ignored.
-An item set beyond ``ITEMS`` items or ``PIECES`` pieces goes through in parts of about that
-size, one pass each.
+is reported as null; a long text is a block of its own; of passages with equal scores the
+first in the text is reported; an empty table on either side gives no rows; other columns
+are ignored. An item set of more than ``PIECES`` pieces goes through in parts of about that
+size, one pass over the documents each, so an index stays within memory whatever the
+benchmark. Document frequencies, the number of items and their mean length are counted once
+over all items and handed to every part, so the parts change no score.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .tokens import LETTERS, Sums, blocks
+from .rows import identity, unused
+from .tokens import LETTERS, Sums, blocks, hashes_of
 
 PIECE = 64
 STRIDE = 8
@@ -44,7 +48,6 @@ SHINGLE = 5
 OVERLAP = 0.8
 THRESHOLD = 0.7
 ESSENTIAL = 0.6
-ITEMS = 20000
 PIECES = 100000
 GROUP = 16
 K1, B = 1.2, 0.75
@@ -53,15 +56,7 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def _words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode())
-
-
-def _hash(words: list[bytes]) -> np.ndarray:
-    out = np.empty(len(words), _U)
-    for i, w in enumerate(words):
-        data = np.frombuffer(w, np.uint8)
-        out[i] = Sums(data.astype(_U) + _U(1), "bytes").of(np.array([0]), np.array([len(w)]))[0]
-    return out
+    return _WORD.findall((text or "").encode())
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -77,10 +72,15 @@ def starts(n: int) -> list[int]:
 
 
 class Index:
-    """Postings of pieces by impact, in blocks of ``GROUP`` pieces."""
+    """Postings of pieces by impact, in blocks of ``GROUP`` pieces.
+
+    ``items``: (id, text in lower case). ``stats``: how many items there are in all, the mean of
+    their lengths (``PIECE`` at the most), and the sorted hashes and document frequencies of
+    their words; without it, those of ``items``.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        known = [(item, _hash(words)) for item, text in items if (words := _words(text))]
+    def __init__(self, items: list[tuple[int, str | None]], stats: tuple | None = None):
+        known = [(item, hashes_of(words)) for item, text in items if (words := _words(text))]
         self.words = [h for _, h in known]
         self.at = [(k, a) for k, h in enumerate(self.words) for a in starts(len(h))]
         self.items = [known[k][0] for k, _ in self.at]
@@ -96,9 +96,9 @@ class Index:
         if not n:
             return
         term, piece, tf = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts).astype(float)
-        df = np.bincount(np.searchsorted(self.terms, np.concatenate([np.unique(h) for h in self.words])), minlength=len(self.terms))
-        mean = sum(min(len(h), PIECE) for h in self.words) / len(self.words)
-        idf = np.log(1 + (len(self.words) - df + 0.5) / (df + 0.5))
+        total, mean, known, df = stats or self.stats()
+        df = df[np.searchsorted(known, self.terms)]
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         length = np.bincount(piece, tf, n)
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / mean))
         impact /= np.bincount(piece, impact, n)[piece]
@@ -119,6 +119,10 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.terms[self.strong_terms] >> _U(44)).astype(np.int64)] = True
 
+    def stats(self) -> tuple[int, float, np.ndarray, np.ndarray]:
+        known, df = np.unique(np.concatenate([np.unique(h) for h in self.words]), return_counts=True)
+        return len(self.words), sum(min(len(h), PIECE) for h in self.words) / len(self.words), known, df
+
     def overlaps(self, piece: int, within: np.ndarray) -> tuple[float, float]:
         """Shares of the question and of the answer that are in ``within``, of the best stretch about a piece."""
         k, at = self.at[piece]
@@ -217,10 +221,11 @@ def _share(part: np.ndarray, within: np.ndarray) -> float:
     return float(np.isin(part, within).mean()) if len(part) else 1.0
 
 
-def _search_rows(index: Index, threshold: float, overlap: float):
+def _search_rows(shared, threshold: float, overlap: float):
     def rows(batches):
+        index = shared.value
         for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("mark")
+            ids, one, two = (batch.column(c) for c in ("doc_id", "a", "b"))
             out: list[list] = [[], [], [], [], [], []]
             for b in blocks(batch.column("text")):
                 b.words(LETTERS)
@@ -239,38 +244,61 @@ def _search_rows(index: Index, threshold: float, overlap: float):
                             for column, value in zip(out, (b.rows.start + d, index.items[piece], number * PIECE, score, question, answer), strict=True):
                                 column.append(value)
             row = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(row), marks.take(row), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), *(pa.array(c, pa.float64()) for c in out[3:])], names=["doc_id", "mark", "item_id", "word", "score", "question_overlap", "answer_overlap"])
+            yield pa.RecordBatch.from_arrays([ids.take(row), one.take(row), two.take(row), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), *(pa.array(c, pa.float64()) for c in out[3:])], names=["doc_id", "a", "b", "item_id", "word", "score", "question_overlap", "answer_overlap"])
 
     return rows
 
 
-SCHEMA = "doc_id long, mark int, item_id long, word long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, a long, b long, item_id long, word long, score double, question_overlap double, answer_overlap double"
 
 
-def found(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, items: int) -> DataFrame:
-    """Verified (passage, piece) pairs; ``mark`` is a hash of the document's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.lower("text").alias("text"))
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    n, pieces = benchmark.agg(F.count(F.lit(1)), F.sum(F.ceil(F.greatest(words - PIECE, F.lit(0)) / STRIDE) + 1)).first()
-    parts, out = max(1, -(-n // items), -(-(pieces or 0) // PIECES)), None
+def _parts(benchmark: DataFrame, pieces: int):
+    """An index for every part of the items, ``pieces`` pieces or so in each; all have the statistics of all items."""
+    spark = benchmark.sparkSession
+    words = F.regexp_extract_all("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"), F.lit(0))
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).withColumn("words", words).filter("size(words) > 0")
+    n = F.size("words")
+    total, mean, all_pieces = benchmark.agg(F.count(F.lit(1)), F.avg(F.least(n, F.lit(PIECE))), F.sum(F.ceil(F.greatest(n - PIECE, F.lit(0)) / STRIDE) + 1)).first()
+    if not total:
+        return
+    parts = -(-all_pieces // pieces)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    each = benchmark.select(part.alias("part"), F.explode(F.array_distinct("words")).alias("word"))
+    known = scratch.keep(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     for k in range(parts):
-        some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
-        index = Index(sorted(((r.item_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        if index.items:
-            one = docs.mapInArrow(_search_rows(index, threshold, overlap), SCHEMA)
-            out = one if out is None else out.union(one)
+        some = benchmark.filter(part == k).select("item_id", "text").collect()  # so many pieces that they fit one index
+        if some:
+            own = known.join(each.filter(F.col("part") == k).select("word").distinct(), "word").toArrow()
+            hashes, df = hashes_of([w.encode() for w in own.column("word").to_pylist()]), own.column("df").to_numpy()
+            order = np.argsort(hashes)
+            items = sorted(((r.item_id, r.text) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            yield spark.sparkContext.broadcast(Index(items, (total, mean, hashes[order], df[order])))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, pieces: int) -> DataFrame:
+    """Verified (passage, piece) pairs; ``a`` and ``b`` tell the documents apart."""
+    a, b = identity()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), a.alias("a"), b.alias("b"), F.lower("text").alias("text"))
+    out = None
+    for index in _parts(benchmark, pieces):
+        one = docs.mapInArrow(_search_rows(index, threshold, overlap), SCHEMA)
+        out = one if out is None else out.union(one)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, pieces: int = PIECES) -> DataFrame:
     """One row for each verified pair: doc_id, item_id, word (of the best passage), score, overlaps."""
     best = F.max(F.struct("score", (-F.col("word")).alias("back"), "question_overlap", "answer_overlap")).alias("best")
-    pairs = found(docs, benchmark, threshold, overlap, items).groupBy("doc_id", "mark", "item_id").agg(best)
+    pairs = found(docs, benchmark, threshold, overlap, pieces).groupBy("doc_id", "a", "b", "item_id").agg(best)
     return pairs.select("doc_id", "item_id", (-F.col("best.back")).alias("word"), "best.score", "best.question_overlap", "best.answer_overlap")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
-    """The rows of ``docs`` that hold no item. The list of the others is kept, and broadcast if it is small."""
-    bad = scratch.keep(found(docs, benchmark, threshold, overlap, items).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, pieces: int = PIECES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are.
+
+    The list of the others is kept, and broadcast if it is small.
+    """
+    one, two = unused(docs.columns, "a", "b")
+    bad = scratch.keep(found(docs, benchmark, threshold, overlap, pieces).select(F.col("a").alias(one), F.col("b").alias(two)).distinct(), "leaks")
+    a, b = identity()
+    return docs.withColumns({one: a, two: b}).join(bad, [one, two], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

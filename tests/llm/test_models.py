@@ -144,10 +144,13 @@ def test_decontamination(make, spark, odd_rows):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     have = {(d, i) for d, text, *_ in docs for i, t in items if words(t) and f" {' '.join(words(t))} " in f" {' '.join(words(text))} "}
-    for size in (20000, 10):
-        rows = decontaminate.leaks(make(docs), benchmark, items=size).collect()
+    told = set()
+    for size in (100000, 300, 40):
+        rows = decontaminate.leaks(make(docs), benchmark, pieces=size).collect()
         got = {(x.doc_id, x.item_id) for x in rows}
         assert have <= got and len(got - have) <= 2, (have - got, got - have)
+        told.add(frozenset((x.doc_id, x.item_id, x.word, round(x.score, 9)) for x in rows))
+    assert len(told) == 1
     kept = decontaminate.clean(make(docs), benchmark)
     bad = {d for d, _ in got}
     assert kept.columns == make(docs).columns
