@@ -1,16 +1,18 @@
 """Language identification by a convolutional network over bytes, trained and run in numpy.
 
-A text is cut, whole, into windows of 128 bytes. Bytes fall into 64 signs with a vector
-each; filters of width 2, 3 and 4 slide over a window, the largest response of each filter
+A text is cut, whole, into windows of 128 bytes. Bytes fall into 160 signs with a vector
+each (letters without case, digits together, other ASCII together, and each byte beyond
+ASCII its own); filters of width 2, 3 and 4 slide over a window, the largest response of each filter
 passes a rectifier, and a softmax over these gives the window's language. A document's
 score is the mean over its windows, weighted by the letters in them.
 
 Responses of a filter are sums of one term for each byte, so scoring reads them from tables
 of byte pairs, the same sums as the convolution's.
 
-Cases: null text, or text without a letter, is ``und`` with score 0; without training rows
-all is ``und``; equal texts get equal results; ties go to the language first by code point;
-an empty table gives no rows; other columns are ignored.
+Every value of lang is learned. Cases: null text, or text without a letter, is ``und`` with
+score 0; without training rows all is ``und``; equal texts get equal results; a long text is
+a block of its own; ties go to the language first by code point; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,22 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import remainder
+from .rows import identity
 from .tokens import blocks
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-SIGNS = 64
+SIGNS = 160
 VECTOR = 8
 SAMPLE = 600
-LANGUAGES = 200
 WINDOWS = 6
 
 _SIGN = np.full(256, 28, np.uint8)
 _SIGN[[0x20, *range(0x09, 0x0E)]] = 0
 _SIGN[0x61:0x7B] = np.arange(1, 27)
 _SIGN[0x30:0x3A] = 27
-_SIGN[0x80:] = 32 + (np.arange(0x80, 0x100) & 31)
+_SIGN[0x80:] = 32 + np.arange(128)
 
 
 def windows(block) -> tuple[np.ndarray, np.ndarray]:
@@ -140,26 +142,32 @@ def _held(docs: DataFrame):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from about ``sample`` documents of each language, six windows of each, not held out."""
+    """A network from about ``sample`` documents of each language, six windows of each, not held out.
+
+    The documents are drawn by a hash of (doc_id, text), the least first; no more than twice
+    ``sample`` for each language on average come to the driver, whatever the rows repeat.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held(docs))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
     share = F.create_map(*(F.lit(v) for k in languages for v in (k, int(min(1.0, sample / counts[k]) * (1 << 20)) + 1)))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")])
+    draw = F.pmod(F.xxhash64(identity()[0], F.lit("language")), F.lit(1 << 20))
+    chosen = known.select("doc_id", "lang", "text", (draw / share[F.col("lang")]).alias("draw")).filter("draw < 1")
 
     def cut(batches):
         for batch in batches:
-            ids, langs = batch.column("doc_id"), batch.column("lang")
+            ids, langs, draws = batch.column("doc_id"), batch.column("lang"), batch.column("draw")
             for b in blocks(batch.column("text")):
                 x, doc = windows(b)
                 limit = np.searchsorted(doc, np.arange(len(b.rows) + 1))
                 at = np.unique(np.concatenate([np.linspace(a, z - 1, WINDOWS).astype(np.int64) for a, z in zip(limit[:-1], limit[1:], strict=True) if z > a] or [np.zeros(0, np.int64)]))
                 take = pa.array(doc[at] + b.rows.start)
-                yield pa.RecordBatch.from_arrays([ids.take(take).cast(pa.int64()), langs.take(take), pa.array([x[i].tobytes() for i in at], pa.binary())], names=["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([ids.take(take).cast(pa.int64()), langs.take(take), draws.take(take), pa.array([x[i].tobytes() for i in at], pa.binary())], names=["doc_id", "lang", "draw", "x"])
 
-    got = chosen.select("doc_id", "lang", F.lower("text").alias("text")).mapInArrow(cut, "doc_id long, lang string, x binary").toArrow()
+    cuts = chosen.select("doc_id", "lang", "draw", F.lower("text").alias("text")).mapInArrow(cut, "doc_id long, lang string, draw double, x binary")
+    got = cuts.orderBy("draw", "doc_id", "lang", "x").limit(2 * sample * len(languages) * WINDOWS).toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     if not rows:
         return None
