@@ -19,7 +19,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, out: Column, most:
     """(doc_id, y, text) of at most ``most`` labelled documents, first by a hash of doc_id.
 
     ``out`` marks the rows whose labels must not be seen. The chosen ids number ``most`` at
-    the most and so are broadcast; several labels of one document count as their mean.
+    the most and so are broadcast; several labels of one document count as their mean, and of
+    several texts under one id the least is taken, so the sample has no more texts than ids.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -28,7 +29,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, out: Column, most:
         .orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
     )
     ids = scratch.keep(ids.withColumnRenamed("doc_id", "its_id"), "sample")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("its_id")).select("doc_id", "y", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("its_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 class Ftrl:
