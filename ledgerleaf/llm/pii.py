@@ -4,19 +4,26 @@ Base spans follow fixed patterns and checks (e-mail, IPv4, card with Luhn, phone
 them generators of high recall propose spans that may overlap: address-like words around an
 at sign (written out, too), and chains of digits with any usual signs between. Each
 candidate is binned by format (digits, groups, signs between, plus, brackets, Luhn, parts
-within 255, ending like a domain) and context (a telling word before it, a free border).
-For each kind, trees are boosted on the candidates that the base patterns confirm or don't;
-all candidates of all texts count, as cells of the binned features (a table bounded by the
-number of cells). Thresholds are calibrated to a precision on these. A candidate that no
+within 255, ending like a domain once at and dot signs are put in) and context (a telling
+word before it, a free border).
+
+For each kind, trees are boosted on the candidates that a base pattern confirms, against
+those it doesn't; all candidates of all texts count, as cells of the binned features (a
+table bounded by the number of cells). An unconfirmed candidate behind a telling word, or
+an address written out, is no negative: it is what the trees are to judge. What a base
+pattern alone asks for (a phone's plus) is hidden from its trees. A quarter of the
+candidates, by a hash of what they read, is held out: thresholds are calibrated to a
+precision there, and a kind without held-out positives adds nothing. A candidate that no
 base span touches is added as a span of the kind whose trees pass their threshold with the
-highest log-odds. Base spans always stay.
+highest log-odds (ties: the kind listed last). Base spans always stay.
 
 Patterns take time in proportion to a text, whatever it is: repeats are possessive and
-start at borders only.
+start at borders only. Positions are running sums, taken in blocks of ``PART`` matches, so
+texts with very many matches don't cost their square.
 
 Cases: null text is empty; positions are code points, end exclusive; repeated rows are found
 each; an empty table gives no rows, and without any candidate nothing is added; other
-columns are ignored (``redact`` keeps them).
+columns are ignored (``redact`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from .boosting import boost, expression, threshold
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 ROUNDS, DEPTH = 10, 3
+FOLDS = 4
+PART = 256
 #: The base patterns, with borders that make each start where the leftmost match does.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -72,7 +81,27 @@ CHECKS = {
     "card": lambda h: luhn(digits(h)),
     "phone": lambda h: F.length(digits(h)).between(9, 15),
 }
-_HIT = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+_HIT = "struct<start:int,end:int,hit:string,before:string,after:string>"
+
+
+def scan(items: Column, start: Column, element: str, step) -> Column:
+    """The second fields of ``step(at, item)`` in turn; the first is the next item's ``at``.
+
+    Two levels of folds, so appending costs little for any number of items.
+    """
+    none = F.expr(f"cast(array() as array<{element}>)")
+
+    def one(acc, x):
+        told = step(acc.at, x)
+        return F.struct(told[0].alias("at"), F.array_append(acc.out, told[1]).alias("out"))
+
+    def part(acc, i):
+        inner = F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(acc.at.alias("at"), none.alias("out")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r.at.alias("at"), F.array_append(acc.out, r.out).alias("out")))[0]
+
+    parts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / PART).cast("int"))
+    empty = F.expr(f"cast(array() as array<array<{element}>>)")
+    return F.flatten(F.aggregate(parts, F.struct(start.alias("at"), empty.alias("out")), part)["out"])
 
 
 def hits(text: Column, name: str, pattern: str) -> Column:
@@ -80,22 +109,22 @@ def hits(text: Column, name: str, pattern: str) -> Column:
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap"), F.slice(between, 2, F.size(found)).alias("next"))
 
-    def add(acc, p):
-        start = acc.at + F.length(p.gap)
-        one = F.struct(start.alias("start"), (start + F.length(p.hit)).alias("end"), p.hit.alias("hit"), F.right(p.gap, F.lit(24)).alias("before"), F.left(p.next, F.lit(1)).alias("after"))
-        return F.struct((start + F.length(p.hit)).alias("at"), F.array_append(acc.out, one).alias("out"))
+    def step(at, p):
+        start = at + F.length(p.gap)
+        end = start + F.length(p.hit)
+        return end, F.struct(start.alias("start"), end.alias("end"), p.hit.alias("hit"), F.right(p.gap, F.lit(24)).alias("before"), F.left(p.next, F.lit(1)).alias("after"))
 
-    none = F.expr(f"cast(array() as {_HIT})")
-    listed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
-    return F.when(text.rlike(NEEDS[name]), listed).otherwise(none)
+    listed = F.transform(F.array(pairs), lambda all_pairs: scan(all_pairs, F.lit(0), _HIT, step))[0]
+    return F.when(text.rlike(NEEDS[name]), listed).otherwise(F.expr(f"cast(array() as array<{_HIT}>)"))
 
 
 def _bins(c: Column, kind: int) -> list[Column]:
-    """The binned features of a candidate; fewer than 60,000 combinations."""
+    """The binned features of a candidate; fewer than 110,000 combinations."""
     hit, number = c.hit, digits(c.hit)
     n, groups = F.length(number), F.size(F.regexp_extract_all(c.hit, F.lit("[0-9]+"), F.lit(0)))
     signs = F.regexp_replace(hit, r"[0-9+()]", "")
     yes = lambda x: F.when(x, 1).otherwise(0)
+    plain = F.regexp_replace(F.regexp_replace(hit, r" ?(?:@|\[at\]|\(at\)) ?", "@"), r" ?(?:\.|\[dot\]|\(dot\)) ?", ".")
     return [
         F.lit(kind),
         F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 13, 3).when(n < 16, 4).when(n < 20, 5).otherwise(6),
@@ -105,20 +134,23 @@ def _bins(c: Column, kind: int) -> list[Column]:
         yes(hit.rlike(r"\([0-9]")),
         F.when((n >= 13) & (n <= 19), yes(luhn(number))).otherwise(0),
         yes(hit.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & _parts(hit)),
-        yes(hit.rlike(r"@[^@ ]+\.[A-Za-z]{2,6}$")),
+        yes(plain.rlike(r"@[^@ ]+\.[A-Za-z]{2,6}$")),
         yes(c.before.rlike(_WORD_BEFORE)),
         yes(~c.before.rlike("[A-Za-z0-9]$") & ~c.after.rlike("[A-Za-z0-9]")),
+        yes(plain != hit) if not kind else F.lit(0),
     ]
 
 
-FEATURES = ("generator", "digits", "groups", "signs", "plus", "brackets", "luhn", "quad", "domain", "word", "border")
+FEATURES = ("generator", "digits", "groups", "signs", "plus", "brackets", "luhn", "quad", "domain", "word", "border", "written")
+#: What the trees of a kind don't see, since its base pattern asks for just that.
+HIDDEN = {"email": ("written",), "ip": ("written",), "card": ("written",), "phone": ("written", "plus")}
 
 
 def spans(text: Column) -> dict[str, Column]:
     """Arrays of base spans by kind, and of binned candidates by generator."""
     text = F.coalesce(text, F.lit(""))
     passing = lambda k: lambda h: CHECKS[k](h.hit)
-    binned = lambda i: lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.array(*_bins(h, i)).alias("bins"))
+    binned = lambda i: lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.array(*_bins(h, i)).alias("bins"), (F.pmod(F.xxhash64(h.hit), F.lit(FOLDS)) == 0).alias("held"))
     out = {k: F.transform(F.filter(hits(text, k, p), passing(k)), lambda h: F.struct(h.start.alias("start"), h.end.alias("end"))) for k, p in BASE.items()}
     return out | {name: F.transform(hits(text, name, p), binned(i)) for i, (name, p) in enumerate(WIDE.items())}
 
@@ -136,14 +168,24 @@ def _touch(a, b) -> Column:
 def train(found: DataFrame) -> dict[str, tuple]:
     """(model, threshold) of each kind, from the columns of ``spans`` of all documents."""
     candidate = found.select(*KINDS, F.explode(F.concat(*(F.col(w) for w in WIDE))).alias("c"))
-    marked = candidate.select("c.bins", *(F.exists(k, lambda b: _touch(b, F.col("c"))).cast("int").alias(k) for k in KINDS))
-    cells = sorted((tuple(r.bins), r.n, *(r[k] for k in KINDS)) for r in marked.groupBy("bins").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in KINDS)).collect())
+    marked = candidate.select("c.bins", "c.held", *(F.exists(k, lambda b: _touch(b, F.col("c"))).cast("int").alias(k) for k in KINDS))
+    counted = marked.groupBy("bins", "held").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in KINDS), F.sum(F.greatest(*KINDS)).alias("any"))
+    rows = counted.collect()  # at most as many as there are cells, twice
     out = {}
-    for i, kind in enumerate(KINDS):
-        own = [(c[0], c[1], c[2 + i]) for c in cells]
-        if sum(c[2] for c in own):
-            model = boost(own, ROUNDS, DEPTH)
-            out[kind] = (model, threshold(model, own, PRECISION))
+    for kind in KINDS:
+        own: dict[bool, dict] = {False: {}, True: {}}
+        for r in rows:
+            telling = r.bins[FEATURES.index("word")] or r.bins[FEATURES.index("written")]
+            n = r["any"] if telling else r.n
+            if n:
+                bins = tuple(0 if f in HIDDEN[kind] else b for f, b in zip(FEATURES, r.bins, strict=True))
+                cell = own[r.held].setdefault(bins, [0, 0])
+                cell[0] += n
+                cell[1] += r[kind]
+        seen, held = ([(bins, n, yes) for bins, (n, yes) in sorted(own[h].items())] for h in (False, True))
+        if sum(c[2] for c in seen):
+            model = boost(seen, ROUNDS, DEPTH)
+            out[kind] = (model, threshold(model, held, PRECISION))
     return out
 
 
@@ -180,18 +222,18 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) written as its kind, like ``[EMAIL]``."""
-    names = [f"_{k}" for k in (*KINDS, *WIDE)]
-    columns = dict(zip((*KINDS, *WIDE), names, strict=True))
-    found = docs.select("*", *(c.alias(columns[k]) for k, c in spans(F.col("text")).items()))
-    bare = found.select(*(F.col(v).alias(k) for k, v in columns.items()))
-    models = train(scratch.keep(bare.filter(F.size(F.concat(*(F.col(w) for w in WIDE))) > 0), "found"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(k) for k, c in spans(F.col("text")).items()))
+    found = docs.select(*(c.alias(k) for k, c in spans(F.col("text")).items()))
+    models = train(scratch.keep(found.filter(F.size(F.concat(*(F.col(w) for w in WIDE))) > 0), "found"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in spans(F.col("text")).items()))
     chosen = select(whole, models)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    rest = lambda acc, to: F.substring(text, acc.at + 1, to - acc.at)
-    add = lambda acc, s: F.when(s.start < acc.at, F.struct(F.greatest(acc.at, s.end).alias("at"), acc.out.alias("out"))).otherwise(F.struct(s.end.alias("at"), F.concat(acc.out, rest(acc, s.start), tags[s.kind]).alias("out")))
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    tags, text = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), F.coalesce(F.col("row.text"), F.lit(""))
+
+    def step(at, s):
+        told = F.concat(F.substring(text, at + 1, F.greatest(s.start - at, F.lit(0))), tags[s.kind])
+        return F.greatest(at, s.end), F.when(s.start < at, "").otherwise(told)
+
+    rest = F.substring(text, F.array_max(F.transform("spans", lambda s: s.end)) + 1, F.length(text))
+    done = F.concat(F.array_join(scan(F.col("ordered"), F.lit(0), "string", step), ""), rest)
     new = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(done)
-    return chosen.select(*((new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return chosen.withColumn("ordered", ordered).select(*((new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
