@@ -11,16 +11,18 @@ Sizes are added up before they are shuffled, so a source of any share is one row
 task. The table of sources is kept, and joined by broadcast only if its known size allows.
 
 Cases: null text has size 0; a null source is a source; a source without words has target 0;
-rows with equal doc_id are taken equally often; a null doc_id has a hash of its own; an
-empty table gives no rows; other columns pass through ``emit`` untouched.
+rows with equal doc_id are taken equally often; a null doc_id has a hash of its own; long
+texts are counted as any other; sources that tie in order come by name; an empty table gives
+no rows; other columns pass through ``emit`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
+from .rows import unused
 
 LIMIT = 3
 SEED = "mix"
@@ -50,28 +52,37 @@ def targets(sized: DataFrame) -> DataFrame:
     return each.select("source", "source_size", F.when(F.col("order") < F.col("cut.order"), (LIMIT * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", words())
-    each = scratch.keep(targets(docs.select("source", words().alias("size"))), "sources")
-    each = each.select(F.col("source").alias("_name"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.col("_target") / F.when(F.col("_source_size") > 0, F.col("_source_size")).cast("double")
+def _taken(source_size: str, target: str) -> Column:
+    """How often a document is taken, by the rate of its source and a hash of its id."""
+    rate = F.col(target) / F.when(F.col(source_size) > 0, F.col(source_size)).cast("double")
     digits = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     drawn = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
-    joined = sized.join(each, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    return joined.withColumn("_copies", F.coalesce(F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long"), F.lit(0)).cast("long"))
+    return F.coalesce(F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long"), F.lit(0)).cast("long")
+
+
+def _with_targets(docs: DataFrame, name: str, source_size: str, target: str) -> DataFrame:
+    """``docs`` beside its source's row, in columns that ``docs`` doesn't have."""
+    each = scratch.keep(targets(docs.select("source", words().alias("size"))), "sources")
+    each = each.select(F.col("source").alias(name), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    return docs.join(each, F.col("source").eqNullSafe(F.col(name)))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    plain = docs.select("doc_id", "source", "text")
-    return copies(plain).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    plain = _with_targets(docs.select("doc_id", "source", "text"), "name", "source_size", "target").withColumn("size", words())
+    return plain.select("doc_id", "size", "source_size", "target", (F.col("size") * _taken("source_size", "target")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mixture itself: every row as often as it is taken, numbered in the column ``copy``."""
-    many = copies(docs).filter("_copies > 0")
-    return many.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    """The mixture itself: every row as often as it is taken, with the number of the copy.
+
+    The number is in the column ``copy``, or ``copy_2`` and so on if ``docs`` has that name.
+    """
+    names = unused(docs.columns, "name", "source_size", "target", "copy")
+    many = _with_targets(docs, *names[:3])
+    times = _taken(*names[1:3]).cast("int")
+    rows = many.withColumn(names[0], times).filter(F.col(names[0]) > 0)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(names[0]))).alias(names[3]))
 
 
 SQL = r"""

@@ -7,7 +7,9 @@ share of the text, times ``SCALE``, so whole texts of any length are comparable.
 
 Cases: a null or empty text has no features and gets the score of the bias; without any
 labelled row no text is rejected (score 1); rows are scored one by one, so repeated rows
-score alike; an empty table gives no rows; other columns pass unseen.
+score alike; a long text is a block of its own; a score equal to the threshold is accepted;
+several labels of one doc_id count as their mean, and of several texts the least is learned
+from; an empty table gives no rows; other columns pass unseen.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .linear import EXAMPLE, fit, labelled, remainder
+from .rows import unused
 from .tokens import LETTERS, SPACES, Block, blocks, mix, segment_sum
 
 BITS = 18
@@ -106,14 +110,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return w if w.any() else None
 
 
-def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """``docs`` with a column ``score``, 0 to 1."""
+def score(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, 0 to 1: the sparse dot product of a text's features and the weights."""
     if weights is None:
-        return docs.withColumn("score", F.lit(1.0))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**18 + 1 numbers, whatever the data
+        return docs.withColumn(name, F.lit(1.0))
+    at = np.flatnonzero(weights)
+    shared = docs.sparkSession.sparkContext.broadcast((at, weights[at]))  # 2**18 + 1 numbers at the most
 
     def rows(batches):
-        w = shared.value
+        w = np.zeros(BIAS + 1)
+        w[shared.value[0]] = shared.value[1]
         for batch in batches:
             out = []
             for b in blocks(batch.column("text")):
@@ -121,11 +127,9 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
                 n = np.maximum(1, np.diff(b.limit))
                 out.append(1 / (1 + np.exp(-np.clip(w[BIAS] + segment_sum(total, b.limit) * SCALE / n, -30, 30))))
             values = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(rows, schema)
 
 
@@ -137,8 +141,7 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more."""
-    texts = docs.select("doc_id", "text")
-    plain = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
-    kept = score(plain, train(texts, labels)).filter(F.col("score") >= threshold).drop("score")
-    return kept.withColumnsRenamed({"_score": "score"}) if "score" in docs.columns else kept
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are."""
+    name = unused(docs.columns, "score")[0]
+    scored = score(docs, train(docs.select("doc_id", "text"), labels), name)
+    return scored.filter(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
