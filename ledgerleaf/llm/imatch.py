@@ -1,23 +1,27 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions alone.
 
-Terms are words ``[^\x20\x09-\x0D]+``. A term's code is the first 60 bits of its MD5, and
-its class the first ``CLASS_BITS`` of these; document frequencies are counted for classes,
-so the lexicon, whatever the corpus, is a bitmap of 2**20 bits that travels as a constant.
-It keeps the classes whose frequency lies within the band (an inverse document frequency
-between two bounds). Of a document's sorted distinct codes in the lexicon (all its codes,
-if none is), the fingerprint hashes the whole list and then 40 subsets of it: eight random
-families of terms, each in five steps that keep a quarter of the one before, so short and
-long texts both have subsets of a few terms. A subset without terms is ``-``.
+Terms are words ``[^\x20\x09-\x0D]+``; a term's code is the first 15 hexadecimal digits of its
+MD5. Document frequencies are counted for each code, exactly, and the lexicon keeps those
+within the band (an inverse document frequency between two bounds). A code in it is in at
+least ``LEAST`` of all documents, so it has at most 1 / LEAST times the mean number of
+distinct terms of a document, whatever the corpus; it travels in the plan as a hash set.
+Of a document's sorted distinct codes in the lexicon (all its codes, if none is), the
+fingerprint hashes the whole list and then 40 subsets of it: eight random families of
+terms, each in five steps that keep a quarter of the one before, so short and long texts
+both have subsets of a few terms. A subset without terms is ``-``.
 
 Likeness: of the subsets that have terms in either text, the share with equal hashes; 1 if
 none has. Equal texts have equal fingerprints.
 
-The next document is found without one global window: ids fall into ranges by percentile,
-and the first document of each range also goes, as a guest, to the end of the range before.
+The next document is found without one global window: rows fall into ranges, by percentiles
+of doc_id (rows without one by their hash), and the first row of each range also goes, as a
+guest, to the end of the range before. Ranges hold about ``ROWS`` rows, more only in tables
+of over ``RANGES`` times as many, and ``MOST_ROWS`` at the most.
 
 Cases: null text is empty; a lone document is its own next; rows of equal doc_id are ordered
-by a hash of the text; rows without doc_id stand before all others but are not the next of
-the last, if others are there; an empty table gives no rows; other columns are ignored.
+by hashes of (doc_id, text); rows without doc_id stand before all others but are not the
+next of the last, if others are there; long texts are rows like any other; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,55 +29,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CLASS_BITS = 20
+from .rows import identity
+
 LEAST, MOST = 0.001, 0.25
-RANGE_ROWS, RANGES = 2000, 4096
-WINDOWS, PATTERNS, STEPS = (0, 10), (0b00, 0b11, 0b01, 0b10), 5
+ROWS, RANGES, MOST_ROWS = 2000, 4096, 50000
+DIGITS, STEPS = 15, 5
+#: The digits, from the end, that the two kinds of families look at first; their four parts.
+OFFSETS, QUARTERS = (0, 5), ("03", "47", "8b", "cf")
 
 
 def codes(text: Column) -> Column:
-    """Sorted distinct codes of a text's words."""
+    """Distinct codes of a text's words."""
     terms = F.array_distinct(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: t != ""))
-    return F.array_sort(F.transform(terms, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("long")))
+    return F.transform(terms, lambda t: F.left(F.md5(t.cast("binary")), F.lit(DIGITS)))
 
 
-def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Column:
-    """The classes within the band as a constant of 2**CLASS_BITS bits."""
-    total = docs.count()
-    classes = docs.select(F.explode(F.array_distinct(F.transform(codes(F.col("text")), lambda c: F.shiftright(c, 60 - CLASS_BITS)))).alias("class"))
-    band = classes.groupBy("class").count().filter((F.col("count") >= max(2, least * total)) & (F.col("count") <= max(2, most * total)))
-    rows = band.groupBy(F.shiftright("class", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(class % 64 as int)))").alias("bits")).collect()
-    bits = ["0"] * (1 << CLASS_BITS - 6)
-    for r in rows:
-        bits[r.word] = str(r.bits)
-    return F.split(F.lit(",".join(bits)), ",").cast("array<bigint>")
+def lexicon(docs: DataFrame, total: int, least: float = LEAST, most: float = MOST) -> list[str]:
+    """The codes within the band; at most the mean number of distinct terms, divided by ``least``."""
+    times = docs.select(F.explode(codes(F.col("text"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return [r.code for r in times.filter((F.col("n") >= max(2, least * total)) & (F.col("n") <= max(2, most * total))).select("code").collect()]
 
 
-def within(c: Column, lex: Column) -> Column:
-    """The codes whose class is in the lexicon, or all where none is."""
-    found = F.filter(c, lambda x: F.getbit(F.get(lex, F.shiftright(x, 60 - CLASS_BITS + 6).cast("int")), (F.shiftright(x, 60 - CLASS_BITS) % 64).cast("int")) == 1)
-    return F.when(F.size(found) == 0, c).otherwise(found)
+def within(name: str, lex: list[str]) -> Column:
+    """The sorted codes of column ``name`` that are in the lexicon, or all where none is."""
+    found = F.expr(f"filter({name}, x -> x in ({','.join(map(repr, lex))}))") if lex else F.array().cast("array<string>")
+    return F.transform(F.array(found), lambda f: F.sort_array(F.when(F.size(f) == 0, F.col(name)).otherwise(f)))[0]
 
 
-def _in_family(shift: int, pattern: int):
-    return lambda x: F.shiftright(x, shift).bitwiseAND(F.lit(3).cast("long")) == pattern
+def _in_family(at: int, quarter: str):
+    return lambda x: F.substring(x, at, 1).between(quarter[0], quarter[1])
 
 
 def fingerprint(df: DataFrame, kept: str, name: str) -> DataFrame:
     """``df`` with ``name``: the hashes of the list ``kept`` and of its subsets, as an array."""
-    sign = lambda a: F.when(F.size(a) == 0, F.lit("-")).otherwise(F.substring(F.md5(F.array_join(a.cast("array<string>"), ",").cast("binary")), 1, 8))
+    sign = lambda a: F.when(F.size(a) == 0, F.lit("-")).otherwise(F.left(F.md5(F.array_join(a, ",").cast("binary")), F.lit(8)))
     parts, last = [F.col(kept)], {}
     for step in range(STEPS):
         added = {}
-        for w in WINDOWS:
-            for p in PATTERNS:
-                of = f"_{name}_{step}_{w}_{p}"
-                added[of] = F.filter(last.get((w, p), F.col(kept)), _in_family(2 * step + w, p))
+        for o in OFFSETS:
+            for q in QUARTERS:
+                added[f"_{name}_{step}_{o}_{q}"] = F.filter(last.get((o, q), F.col(kept)), _in_family(DIGITS - o - step, q))
         df = df.withColumns(added)
-        for w in WINDOWS:
-            for p in PATTERNS:
-                last[w, p] = F.col(f"_{name}_{step}_{w}_{p}")
-                parts.append(last[w, p])
+        for o in OFFSETS:
+            for q in QUARTERS:
+                last[o, q] = F.col(f"_{name}_{step}_{o}_{q}")
+                parts.append(last[o, q])
     return df.withColumn(name, F.array(*(sign(a) for a in parts))).drop(*(c for c in df.columns if c.startswith(f"_{name}_")))
 
 
@@ -83,41 +83,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(same / F.size(pairs))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(range, guest, doc_id, text, mark) dealt by range: a range's documents, then its guest."""
-    n = docs.count()
-    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20000)).first()[0] if ranges > 1 else None
-    cuts = sorted(set(cuts or []))
-    side = max(1, int(len(cuts) ** 0.5))
-    if cuts:
-        coarse, fine = F.array(*(F.lit(c) for c in cuts[side - 1 :: side])), F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-        skip = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) * side
-        place = F.coalesce(skip + F.size(F.filter(F.slice(fine, skip + 1, F.lit(side)), lambda c: c <= F.col("doc_id"))), F.lit(0))
-    else:
-        place = F.lit(0)
-    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place))
-    firsts = placed.filter("doc_id is not null").groupBy("range").agg(F.min("doc_id").alias("first")).orderBy("range").collect()
-    guests = ",".join(f"{r['first']}:{firsts[k - 1]['range']}" for k, r in enumerate(firsts))  # one for each range, at most RANGES
-    pair = F.split("pair", ":")
-    of = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(guests), ",")).alias("pair")).filter("pair <> ''").select(pair[0].cast("long").alias("first"), pair[1].cast("int").alias("before"))
-    both = placed.join(F.broadcast(of), F.col("doc_id") == F.col("first"), "left")
-    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
-    stays = F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))))
-    return both.select("doc_id", "text", F.hash("text").alias("mark"), F.explode(stays).alias("at")).select("at.range", "at.guest", "doc_id", "text", "mark")
+def _place(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most doc_id, by halving."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) <= doc_id), at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, n: int, unnamed: int) -> DataFrame:
+    """(range, guest, doc_id, text, a, b) dealt by range: a range's documents, then its guest.
+
+    ``docs`` has n rows, ``unnamed`` of them without doc_id.
+    """
+    each = max(ROWS, min(-(-n // RANGES), MOST_ROWS))
+    ranges, bits = max(1, -(-(n - unnamed) // each)), (max(1, -(-unnamed // each)) - 1).bit_length()
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(20000, 8 * ranges))).first()[0] if ranges > 1 else None
+    hashed = F.shiftright("a", 64 - bits) - (1 << bits - 1) if bits else F.lit(-1)
+    place = F.when(F.col("doc_id").isNull(), hashed).otherwise(_place(F.col("doc_id"), sorted(set(cuts or []))))
+    placed = docs.withColumn("range", place.cast("long"))
+    firsts = placed.groupBy("range").agg(F.min(F.struct("doc_id", "a", "b")).alias("first")).orderBy("range").collect()  # one for each range
+    named = [k for k, r in enumerate(firsts) if r["range"] >= 0] or [0]
+    guest_of: dict[int, list[int]] = {}
+    for k, r in enumerate(firsts):
+        guest_of.setdefault(k + 1 if k + 1 < len(firsts) else named[0], []).append(r["range"])
+    told = ";".join(f"{firsts[k]['first']['a']}:{firsts[k]['first']['b']}:{','.join(map(str, to))}" for k, to in guest_of.items())
+    part = F.split("row", ":")
+    of = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(told), ";")).alias("row")).filter("row <> ''").select(part[0].cast("long").alias("first_a"), part[1].cast("long").alias("first_b"), F.split(part[2], ",").cast("array<bigint>").alias("before"))
+    both = placed.join(F.broadcast(of), (F.col("a") == F.col("first_a")) & (F.col("b") == F.col("first_b")), "left")
+    own = F.array(F.struct(F.col("range"), F.lit(False).alias("guest")))
+    away = F.transform("before", lambda r: F.struct(r.alias("range"), F.lit(True).alias("guest")))
+    stays = F.when(F.col("before").isNull(), own).otherwise(F.concat(own, away))
+    return both.select("doc_id", "text", "a", "b", F.explode(stays).alias("at")).select("at.range", "at.guest", "doc_id", "text", "a", "b")
 
 
 def prints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lex = lexicon(docs, least, most)
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "mark")
+    a, b = identity()
+    docs = docs.select("doc_id", "text", a.alias("a"), b.alias("b"))
+    n, named = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    lex = lexicon(docs, n, least, most)
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "a", "b")
     half = F.floor(F.length("text") / 2).cast("int")
-    seen = with_next(docs).withColumn("after", F.coalesce(F.lead("text").over(order), F.col("text")))
+    seen = with_next(docs, n, n - named).withColumn("after", F.coalesce(F.lead("text").over(order), F.col("text")))
     seen = seen.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("after"), F.lit(1), half)))
-    seen = seen.select("range", "guest", "doc_id", "mark", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), codes(F.col("text")).alias("_own"), F.when(~F.col("guest"), codes(F.col("edited"))).alias("_edit"))
-    seen = seen.withColumns({"own": within(F.col("_own"), lex), "edit": within(F.col("_edit"), lex)})
-    seen = fingerprint(fingerprint(seen, "own", "f"), "edit", "e").select("range", "guest", "doc_id", "mark", "n_chars", "edited_sha256", "f", "e")
+    seen = seen.select("range", "guest", "doc_id", "a", "b", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), codes(F.col("text")).alias("_own"), F.when(~F.col("guest"), codes(F.col("edited"))).alias("_edit"))
+    seen = seen.withColumns({"own": within("_own", lex), "edit": within("_edit", lex)})
+    seen = fingerprint(fingerprint(seen, "own", "f"), "edit", "e").select("range", "guest", "doc_id", "a", "b", "n_chars", "edited_sha256", "f", "e")
     seen = seen.withColumn("n", F.coalesce(F.lead("f").over(order), F.col("f"))).filter(~F.col("guest"))
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("f", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
@@ -126,20 +140,20 @@ def prints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFra
 
 
 def sql(least: float = LEAST, most: float = MOST) -> str:
-    code = lambda t: f"""list_sort(list_distinct([('0x' || substr(md5(t), 1, 15))::BIGINT FOR t IN regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')]))"""
-    sets = ["k"] + [f"list_filter(k, lambda x: {' AND '.join(f'((x >> {2 * s + w}) & 3) = {p}' for s in range(step + 1))})" for step in range(STEPS) for w in WINDOWS for p in PATTERNS]
+    code = lambda t: f"""list_sort(list_distinct([substr(md5(t), 1, {DIGITS}) FOR t IN regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+')]))"""
+    held = lambda o, q, step: " AND ".join(f"substr(x, {DIGITS - o - s}, 1) BETWEEN '{q[0]}' AND '{q[1]}'" for s in range(step + 1))
+    sets = ["k"] + [f"list_filter(k, lambda x: {held(o, q, step)})" for step in range(STEPS) for o in OFFSETS for q in QUARTERS]
     sign = ", ".join(f"CASE WHEN len({s}) = 0 THEN '-' ELSE substr(md5(array_to_string({s}, ',')), 1, 8) END" for s in sets)
-    shift = 60 - CLASS_BITS
     near = lambda a, b: f"""coalesce(len(list_filter(list_zip({a}, {b}), lambda p: p[1] = p[2] AND p[1] <> '-'))::DOUBLE / nullif(len(list_filter(list_zip({a}, {b}), lambda p: p[1] <> '-' OR p[2] <> '-')), 0), 1.0)"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents),
 x AS (SELECT a.doc_id, a.r, a.n, a.text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited, a.r % a.n + 1 AS nr
   FROM d a JOIN d b ON b.r = a.r % a.n + 1),
 c AS (SELECT *, {code('text')} AS c, {code('edited')} AS ce FROM x),
-l AS (SELECT cls, count(*) AS df FROM (SELECT DISTINCT r, cls FROM (SELECT r, unnest([y >> {shift} FOR y IN c]) AS cls FROM c)) GROUP BY cls),
-b AS (SELECT cls FROM l, (SELECT max(n) AS n FROM d) WHERE df >= greatest(2, {least} * n) AND df <= greatest(2, {most} * n)),
+l AS (SELECT y, count(*) AS df FROM (SELECT r, unnest(c) AS y FROM c) GROUP BY y),
+b AS (SELECT y, true AS inside FROM l, (SELECT max(n) AS n FROM d) WHERE df >= greatest(2, {least} * n) AND df <= greatest(2, {most} * n)),
 u AS (SELECT r, 0 AS side, unnest(c) AS y FROM c UNION ALL SELECT r, 1, unnest(ce) FROM c),
-k AS (SELECT r, side, coalesce(list(y ORDER BY y) FILTER (WHERE cls IS NOT NULL), list(y ORDER BY y)) AS k FROM u LEFT JOIN b ON u.y >> {shift} = b.cls GROUP BY r, side),
+k AS (SELECT r, side, coalesce(list(u.y ORDER BY u.y) FILTER (WHERE inside), list(u.y ORDER BY u.y)) AS k FROM u LEFT JOIN b USING (y) GROUP BY r, side),
 s AS (SELECT r, side, coalesce(k, []) AS k FROM (SELECT r, unnest([0, 1]) AS side FROM c) LEFT JOIN k USING (r, side)),
 f AS (SELECT r, side, [{sign}] AS f FROM s)
 SELECT c.doc_id, length(c.text)::BIGINT AS n_chars, sha256(c.edited) AS edited_sha256, array_to_string(o.f, '') AS fingerprint, array_to_string(e.f, '') AS edited_fingerprint,
