@@ -21,8 +21,14 @@ DAY_MONTH = r"(\d{1,2})-([A-Za-z]{3})-(\d{4})\s+(\d{2}):(\d{2})"
 YEAR_FIRST = r"(\d{4})-(\d{2})-(\d{2})\s+(\d{2}):(\d{2})"
 #: Entities that listings use; a full table would need Python.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&#34;": '"', "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&ordm;": "º", "&ordf;": "ª", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&atilde;": "ã", "&otilde;": "õ", "&ccedil;": "ç", "&acirc;": "â", "&ecirc;": "ê", "&ocirc;": "ô", "&agrave;": "à", "&#160;": " ", "&amp;": "&"}
-SEVERAL = {1024 * KIB * KIB: "1 GiB", KIB * KIB: "1 MiB", KIB: "1 KiB"}
-PARTS = {KIB * KIB / 10: "0.1 MiB", KIB * KIB / 100: "0.01 MiB", KIB / 10: "0.1 KiB"}
+#: What published sizes are rounded to, in the order tried: bytes, how near a whole multiple must be, label.
+ROUNDINGS = (
+    (KIB**3, 1e-9, "rounded to \u2264 1 GiB"), (KIB**2, 1e-9, "rounded to \u2264 1 MiB"), (KIB, 1e-9, "rounded to \u2264 1 KiB"),
+    (KIB**2 / 10, 1e-6, "rounded to ~0.1 MiB"), (KIB**2 / 100, 1e-6, "rounded to ~0.01 MiB"), (KIB / 10, 1e-6, "rounded to ~0.1 KiB"),
+)
+#: A size beside a date, and a size that stands alone.
+SIZE_AFTER_DATE = r"(\d+(?:[.,]\d+)?\s*[KMGTPkmgtp]?|-)"
+SIZE_ALONE = r"^\s*(\d+|[\d.]+\s*[KMGTPkmgtp]|-)\s*$"
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -44,24 +50,20 @@ def human(n: Column, separator: bool = False) -> Column:
     x = n.cast("double")
     out = F.when(x.isNull() | F.isnan(x), "-").when(F.abs(x) < KIB, F.format_string(f"%{comma}.0f B", x))
     for i, unit in enumerate(UNITS):
-        shown = F.format_string(f"%{comma}.1f {unit}", x / float(KIB ** (i + 1)))
+        shown = F.format_string(f"%{comma}.1f {unit}", F.bround(x / float(KIB ** (i + 1)), 1))  # halves go to even
         out = out.otherwise(shown) if unit == UNITS[-1] else out.when(F.abs(x) < float(KIB ** (i + 2)), shown)
     return out
 
 
 def granularity(n: Column) -> Column:
-    """struct(step, label): the coarsest rounding that explains a published size."""
-
-    def fits(step: float, near: float) -> Column:
-        times = n.cast("double") / float(step)
-        return (n >= step) & (F.abs(times - F.rint(times)) < near)
-
-    value = lambda s, label: F.struct(F.lit(s).cast("double").alias("step"), F.lit(label).alias("label"))
-    out = F.when(n.isNull(), value(None, "unknown"))
-    for near, sign, steps in ((1e-9, "\u2264 ", SEVERAL), (1e-6, "~", PARTS)):
-        for step, label in steps.items():
-            out = out.when(fits(step, near), value(step, f"rounded to {sign}{label}"))
-    return out.otherwise(value(1.0, "exact bytes"))
+    """struct(step, label): the first rounding that explains a published size."""
+    x = n.cast("double")
+    rules = F.array(*(F.struct(F.lit(float(step)).alias("step"), F.lit(near).alias("near"), F.lit(label).alias("label")) for step, near, label in ROUNDINGS))
+    rule = F.get(F.filter(rules, lambda r: (x >= r.step) & (F.abs(x / r.step - F.rint(x / r.step)) < r.near)), F.lit(0))
+    return F.struct(
+        F.when(n.isNotNull(), F.coalesce(rule["step"], F.lit(1.0))).alias("step"),
+        F.when(n.isNull(), "unknown").otherwise(F.coalesce(rule["label"], F.lit("exact bytes"))).alias("label"),
+    )
 
 
 def listing_date(text: Column) -> Column:
@@ -119,10 +121,9 @@ def attribute(tag: Column, name: str) -> Column:
 def run_meta(text: Column) -> Column:
     """struct(mtime, size) of a text run beside a link: a size follows a date, or stands alone."""
     mtime = listing_date(text)
-    size = r"(\d+(?:[.,]\d+)?\s*[KMGTPkmgtp]?|-)"
     after = F.regexp_extract(text, rf"(?s)(?:{DAY_MONTH}|{YEAR_FIRST})(.{{0,40}})", 11)
-    alone = F.regexp_extract(text, r"^\s*(\d+|[\d.]+\s*[KMGTPkmgtp]|-)\s*$", 1)
-    token = F.when(mtime.isNotNull(), F.regexp_extract(after, size, 1)).otherwise(alone)
+    alone = F.regexp_extract(text, SIZE_ALONE, 1)
+    token = F.when(mtime.isNotNull(), F.regexp_extract(after, SIZE_AFTER_DATE, 1)).otherwise(alone)
     return F.struct(mtime.alias("mtime"), parse_size(F.replace(token, F.lit(" "), F.lit(""))).alias("size"))
 
 

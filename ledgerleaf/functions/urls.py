@@ -1,15 +1,16 @@
 """URL and path functions as column expressions.
 
 ``parse_url`` fails on what listings hold (raw spaces, odd escapes), so URLs are split by
-one pattern. Escapes are decoded with ``try_url_decode``; a plus sign stays a plus sign, and
-where an escape is not valid UTF-8 the text is kept as it is.
+one pattern. Escapes are decoded with ``try_url_decode``; a plus sign stays a plus sign, a
+percent sign that begins no escape stays, and bytes that are no UTF-8 become U+FFFD, but for
+names of files (``decode_component``), which fall back to Latin-1.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import unescape
@@ -20,10 +21,8 @@ SAFE = {"%2F": "/", "%7E": "~", "%3A": ":", "%40": "@", "%21": "!", "%24": "$",
 #: Names that some file systems keep for themselves.
 RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
 SORT_KEYS = ("c", "o", "sort", "order")
-#: Last labels of government hosts, labels that name no site, and a short name.
-SUFFIXES = "br gov ac al am ap ba ce df es go ma mg ms mt pa pb pe pi pr rj rn ro rr rs sc se sp to".split()
-GENERIC = ("dados", "dadosabertos", "geofiles", "www", "portal", "arquivos", "files")
-ALIAS = {"comissaodaverdade": "comissao"}
+#: Last labels of hosts, and labels that name no site, where a caller gives none of its own.
+SUFFIXES, GENERIC = ("com", "org", "net", "edu", "gov"), ("www", "portal", "data", "files")
 
 
 def part(url: Column, i: int) -> Column:
@@ -44,8 +43,19 @@ def port(url: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """Percent-decoded once; plus signs stay."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent-decoded once; plus signs and percent signs that begin no escape stay."""
+    plain = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(plain), text)
+
+
+def decode_component(text: Column) -> Column:
+    """A name decoded as UTF-8, or as Latin-1 where that fails."""
+    told = decode(text)
+    latin = F.regexp_replace(text, "(?i)%([89ab][0-9a-f])", "\u0001C2\u0001$1")
+    for high, low in zip("cdef", "89AB", strict=True):
+        latin = F.regexp_replace(latin, f"(?i)%{high}([0-9a-f])", f"\u0001C3\u0001{low}$1")
+    broken = F.contains(told, F.lit("\ufffd")) & ~text.rlike("(?i)\ufffd|%EF%BF%BD")
+    return F.when(broken, decode(F.replace(latin, F.lit("\u0001"), F.lit("%")))).otherwise(told)
 
 
 def encode_path(path: Column) -> Column:
@@ -113,9 +123,9 @@ def relative_dir(url: Column, base: Column) -> Column:
     """A folder's place below the site's base, decoded until nothing is left to decode."""
     root, path = as_dir_url(decode(part(base, 3))), decode(part(url, 3))
     inner = F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path))).when(path == F.rtrim(root, F.lit("/")), "").otherwise(path)
-    for _ in range(3):
-        inner = F.when(F.contains(inner, F.lit("%")), decode(inner)).otherwise(inner)
-    return F.trim(inner, F.lit("/"))
+    rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(inner, F.lit("%")), F.lit(1)) + F.regexp_count(inner, F.lit("25")))
+    whole = F.aggregate(rounds, inner, lambda path, _: F.when(F.contains(path, F.lit("%")), decode(path)).otherwise(path))
+    return F.trim(F.when(F.contains(inner, F.lit("%")), whole).otherwise(inner), F.lit("/"))
 
 
 def sanitize(name: Column, most: int = 180) -> Column:
@@ -130,11 +140,11 @@ def sanitize(name: Column, most: int = 180) -> Column:
 
 def relative_path(url: Column, base: Column) -> Column:
     """Where a document is stored below its site: decoded, sanitised segments without the base's."""
-    segments = lambda u: F.filter(F.split(decode(part(u, 3)), "/"), lambda s: ~s.isin("", "."))
+    segments = lambda u: F.transform(F.filter(F.split(part(u, 3), "/"), lambda s: ~s.isin("", ".")), decode_component)
     own, root = segments(url), segments(base)
     inner = F.when((F.size(root) > 0) & (F.slice(own, F.lit(1), F.greatest(F.size(root), F.lit(1))) == root), F.slice(own, F.size(root) + 1, F.size(own) + 1)).otherwise(own)
     inner = F.when(part(url, 3).endswith("/"), F.array_append(inner, F.lit("index.html"))).otherwise(inner)
-    named = F.transform(inner, lambda s: sanitize(decode(s)))
+    named = F.transform(inner, lambda s: sanitize(decode_component(s)))
     return F.when(F.size(named) == 0, "index.html").otherwise(F.array_join(named, "/"))
 
 
@@ -164,12 +174,30 @@ def name_of(url: Column) -> Column:
     return decode(F.element_at(F.split(url, "/"), -1))
 
 
-def short_site(site: Column) -> Column:
-    """A label for a host: before the labels of its state, the first that says something."""
-    bare = F.split(F.regexp_replace(F.lower(site), rf"(\.({'|'.join(SUFFIXES)}))+$", ""), r"\.")
-    telling = F.get(F.filter(bare, lambda x: (x != "") & ~x.isin(*GENERIC)), F.lit(0))
-    alias = F.create_map(*(F.lit(v) for pair in ALIAS.items() for v in pair))
-    return F.coalesce(alias[telling], telling, F.get(bare, F.lit(0)), site)
+def short_site(site: Column, suffixes=SUFFIXES, generic=GENERIC, alias: dict[str, str] | None = None) -> Column:
+    """A label for a host: before its last labels, the first that says something; ``alias`` shortens it."""
+    bare = F.split(F.regexp_replace(F.lower(site), rf"(\.({'|'.join(suffixes)}))+$", ""), r"\.")
+    telling = F.get(F.filter(bare, lambda x: (x != "") & ~x.isin(*generic)), F.lit(0))
+    known = F.create_map(*(F.lit(v) for pair in alias.items() for v in pair))[telling] if alias else F.lit(None)
+    return F.coalesce(known, telling, F.get(bare, F.lit(0)), site)
+
+
+def site_of(rows: DataFrame, sites: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` with ``site``, the longest of ``sites`` (site) that is the URL's host or ends it.
+
+    Every ending of a host is looked up, so this is a plain join on equal names.
+    """
+    labels = F.split(host(F.col("_url")), r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = rows.select(F.col(url).alias("_url")).distinct().select("_url", F.posexplode(endings).alias("_at", "_host"))
+    first = found.join(sites.select(F.lower("site").alias("_host"), "site").distinct(), "_host").groupBy("_url").agg(F.min_by("site", "_at").alias("site"))
+    return rows.join(first, F.col(url) == F.col("_url"), "left").drop("_url")
+
+
+def absolute_url(url: Column, site: Column, path: Column, name: Column) -> Column:
+    """A capture's URL, made from its site, path and name where it has none."""
+    made = F.concat(F.lit("https://"), site, as_dir_url(path), encode_path(name))
+    return F.coalesce(F.nullif(url, F.lit("")), made)
 
 
 def slug(url: Column) -> Column:

@@ -101,20 +101,61 @@ def playground(rows: DataFrame, sites=None, endings=None, statuses=None, least=N
     return reduce(lambda df, x: df.filter(x[1]()) if x[0] else df, tests, rows)
 
 
-def site_summary(manifest: DataFrame, state: DataFrame, duplicates: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per site: documents, status counts, bytes stored once per content, duplicates, errors."""
+def site_summary(manifest: DataFrame, state: DataFrame, duplicates: DataFrame, errors: DataFrame, pages: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Per site: documents, status counts, bytes stored once per content, duplicates, errors.
+
+    Also what was fetched and what waits, bytes of this run, its seconds, and with ``pages`` and
+    ``candidates`` (site) how many there are.
+    """
     status = manifest.groupBy("site", "status").agg(F.count(F.lit(1)).alias("n"))
-    status = status.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"), F.sum("n").alias("documents_discovered"), F.sum(F.when(F.col("status") == "error", F.col("n")).otherwise(0)).alias("_failed"))
+    of = lambda *names: F.sum(F.when(F.col("status").isin(*names), F.col("n")).otherwise(0))
+    status = status.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"), F.sum("n").alias("documents_discovered"), of("error").alias("_failed"), of("downloaded", "duplicate").alias("documents_fetched"), of("pending", "dry_run").alias("documents_pending"))
+    run = manifest.groupBy("site").agg(F.coalesce(F.sum(F.when(F.col("status") == "downloaded", F.col("size"))), F.lit(0)).alias("bytes_downloaded_this_run"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("elapsed_s"))
     stored = state.filter("sha256 is not null and local_path is not null").groupBy("site", "sha256").agg(F.max("size").alias("size")).groupBy("site").agg(F.sum("size").alias("documents_bytes"))
     copies = duplicates.groupBy("site").agg(F.count(F.lit(1)).alias("duplicates"), F.sum("size").alias("duplicate_bytes_collapsed"))
     failed = errors.groupBy("site").agg(F.count(F.lit(1)).alias("_errors"))
-    out = status.join(stored, "site", "left").join(copies, "site", "left").join(failed, "site", "left").fillna(0, ["documents_bytes", "duplicates", "duplicate_bytes_collapsed", "_errors"])
+    out = reduce(lambda a, b: a.join(b, "site", "left"), (run, stored, copies, failed), status)
+    for rows, name in ((pages, "listing_pages"), (candidates, "candidate_duplicates")):
+        out = out.withColumn(name, F.lit(0).cast("long")) if rows is None else out.join(rows.groupBy("site").agg(F.count(F.lit(1)).alias(name)), "site", "left")
+    out = out.fillna(0, ["documents_bytes", "duplicates", "duplicate_bytes_collapsed", "_errors", "listing_pages", "candidate_duplicates"])
     return out.withColumn("errors", F.col("_errors") + F.col("_failed")).drop("_errors", "_failed")
 
 
+TOTALS = ("listing_pages", "documents_discovered", "documents_fetched", "documents_bytes", "bytes_downloaded_this_run", "duplicates", "duplicate_bytes_collapsed", "candidate_duplicates", "errors")
+
+
 def global_totals(summaries: DataFrame) -> DataFrame:
-    names = ("documents_discovered", "documents_bytes", "duplicates", "duplicate_bytes_collapsed", "errors")
-    return summaries.agg(F.count(F.lit(1)).alias("sites"), *(F.sum(n).alias(n) for n in names))
+    """The number of sites and the sums of their counts."""
+    return summaries.agg(F.count(F.lit(1)).alias("sites"), *(F.sum(n).alias(n) for n in TOTALS))
+
+
+def all_duplicates(duplicates: DataFrame) -> DataFrame:
+    """Duplicates of all sites, by site and then by URL, without the kept path."""
+    columns = ("site", "sha256", "size", "kept_url", "duplicate_url", "method")
+    return duplicates.select(*columns).orderBy("site", "duplicate_url")
+
+
+def coarse_sizes(entries: DataFrame, site: str, size: str) -> DataFrame:
+    """Per site: how many documents, and how many of them have sizes rounded to 1 MiB or more."""
+    from ..functions.text import granularity
+
+    step = granularity(F.col(size))["step"]
+    return entries.groupBy(site).agg(F.count(F.lit(1)).alias("documents"), F.count_if(step >= 1048576).alias("coarse"))
+
+
+def link_counts(files: DataFrame) -> DataFrame:
+    """n, least and most of ``nlink`` by site and status."""
+    return files.groupBy("site", "status").agg(F.count("nlink").alias("n"), F.min("nlink").alias("least"), F.max("nlink").alias("most"))
+
+
+def labelled(key: Column, names: dict[str, str], other: str = "") -> Column:
+    """A value's label; ``other`` where there is none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[key], F.lit(other))
+
+
+def unknown(names: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The distinct values of ``names`` that ``known`` doesn't have."""
+    return names.select(key).distinct().join(known.select(key).distinct(), key, "left_anti")
 
 
 def reconcile(manifest: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from ..scratch import keep
 from .graph import components
 
 PROBE = 64 * 1024
+#: Fixed value: sizes of more members than this are too common to tell anything.
+MOST = 50
 
 
 def keep_first(rows: DataFrame, key: list[str], rank: list, kept: str = "kept", value: str = "doc_id") -> DataFrame:
@@ -27,21 +29,24 @@ def keep_first(rows: DataFrame, key: list[str], rank: list, kept: str = "kept",
 def content_dedup(docs: DataFrame) -> DataFrame:
     """sha256, size, kept_id and status (downloaded or duplicate) of every document."""
     hashed = docs.select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    hashed = keep(hashed, "hashed")  # texts are read once
     return keep_first(hashed, ["sha256"], ["doc_id"], "kept_id").select("doc_id", "source", "sha256", "size", "kept_id", F.when(F.col("is_kept"), "downloaded").otherwise("duplicate").alias("status"))
 
 
 def range_probe(docs: DataFrame, part: int = PROBE, least: int = 4 * PROBE) -> DataFrame:
     """Documents of ``least`` bytes or more by size and hashes of both ends: doc_id, size, head, tail, kept_id, probe_hit.
 
-    Whole contents are not hashed; only sizes that occur twice get their ends hashed.
+    Whole contents are not hashed, and no text is shuffled: both ends are hashed where a text
+    is read, and sizes that occur once go after that.
     """
-    sized = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("size")).filter(F.col("size") >= least)
-    twice = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
-    edges = sized.join(twice, "size", "left_semi").withColumn("e", t.head_tail(F.col("text"), part)).select("doc_id", "size", "e.head", "e.tail")
+    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), t.head_tail(F.col("text"), part).alias("e")).filter(F.col("size") >= least)
+    sized = keep(sized.select("doc_id", "size", "e.head", "e.tail"), "ends")
+    twice = keep(sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size"), "sizes")
+    edges = sized.join(twice, "size", "left_semi")
     return keep_first(edges, ["size", "head", "tail"], ["doc_id"], "kept_id").select("doc_id", "size", "head", "tail", "kept_id", (~F.col("is_kept")).alias("probe_hit"))
 
 
-def candidate_pairs(entries: DataFrame, group: list[str], name: str, size: str, url: str, least: float = 0.6, most: int = 50, ratio: bool = True) -> DataFrame:
+def candidate_pairs(entries: DataFrame, group: list[str], name: str, size: str, url: str, least: float = 0.6, most: int = MOST, ratio: bool = True) -> DataFrame:
     """Pairs of equal size and similar name: group columns, size, kept and candidate names and URLs, name_similarity.
 
     Sizes with more than ``most`` members are too common to tell anything and are left out,
@@ -50,6 +55,7 @@ def candidate_pairs(entries: DataFrame, group: list[str], name: str, size: str,
     rows = entries.filter(F.col(size).isNotNull()).select(*group, F.col(size).alias("size"), F.col(name).alias("name"), F.col(url).alias("url"), t.name_stem(F.col(name)).alias("stem"))
     bucket = [*group, "size"]
     counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most)).select(*bucket)
+    counts = keep(counts, "buckets")
     ranked = rows.join(counts, bucket, "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(*bucket).orderBy(F.length("name"), "name", "url"))).filter("stem <> ''")
     a, b = ranked.alias("a"), ranked.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in bucket] + [F.col("a.rank") < F.col("b.rank")])
@@ -75,6 +81,26 @@ def numbered_clusters(found: DataFrame) -> DataFrame:
     return each.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("copies"), "cluster")))
 
 
+def cluster_sizes(found: DataFrame, pairs: DataFrame, u: str = "kept_url", v: str = "candidate_url") -> DataFrame:
+    """cluster and the largest listed size of the pairs that touch it."""
+    sides = pairs.select(F.col(u).alias("url"), "size").unionByName(pairs.select(F.col(v).alias("url"), "size"))
+    return found.join(sides.groupBy("url").agg(F.max("size").alias("size")), "url").groupBy("cluster").agg(F.max("size").alias("size"))
+
+
+def touching(pairs: DataFrame, urls: DataFrame, u: str = "kept_url", v: str = "candidate_url") -> DataFrame:
+    """The pairs with either side among ``urls`` (url)."""
+    known = urls.select("url").distinct()
+    one = pairs.join(known.withColumnRenamed("url", u), u, "left_semi")
+    rest = pairs.join(known.withColumnRenamed("url", u), u, "left_anti").join(known.withColumnRenamed("url", v), v, "left_semi")
+    return one.unionByName(rest)
+
+
+def similarity_summary(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """pairs, least, median and largest name_similarity, and how many are 1, of each group."""
+    s = F.col("name_similarity")
+    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"), F.min(s).alias("least"), F.median(s).alias("median"), F.max(s).alias("most"), F.count_if(s == 1.0).alias("same"))
+
+
 def risky_names(pending: DataFrame, stored: DataFrame, name: str = "name", size: str = "size") -> DataFrame:
     """Name keys that occur twice among unsized documents, or are stored already."""
     keyed = pending.filter(F.col(size).isNull()).select(t.name_key(F.col(name)).alias("name_key")).filter("name_key <> ''")

@@ -13,6 +13,7 @@ from ..functions import text as t
 from ..functions import urls as u
 from ..functions.patterns import ANCHOR
 
+#: A link and the 800 characters after it, which may hold its date and size.
 _LINK = rf"({ANCHOR.replace('(?is)', '')})(?=(.{{0,800}}))"
 _CELL = r"(?is)^\s*(?:</(?:td|th|span|div|p)>\s*<t[dh][^>]*>|<br\s*/?>|</?p[^>]*>)"
 _EXACT_DATE = r'(?is)class="[^"]*\bdatetime\b[^"]*"[^>]*data-sort-value="([^"]+)"'
@@ -22,11 +23,12 @@ _EXACT_SIZE = r'(?is)class="[^"]*\bsize\b[^"]*"[^>]*data-sort-value="(\d+)"'
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without its text, one row for each link: pos, tag, href, label, tail."""
     take = lambda i: F.regexp_extract_all(F.col(html), F.lit("(?is)" + _LINK), F.lit(i))
-    links = F.arrays_zip(take(1).alias("tag"), take(2).alias("dq"), take(3).alias("sq"), take(4).alias("bare"), take(5).alias("label"), take(6).alias("tail"))
+    links = F.arrays_zip(take(1).alias("tag"), take(6).alias("tail"))
     rest = [c for c in pages.columns if c != html]
     out = pages.select(*rest, F.posexplode(links).alias("pos", "a"))
-    href = F.regexp_replace(F.concat("a.dq", "a.sq", "a.bare"), r"^\s+|\s+$", "")
-    return out.select(*rest, "pos", F.col("a.tag").alias("tag"), href.alias("href"), F.col("a.label").alias("label"), F.col("a.tail").alias("tail"))
+    part = lambda i: F.regexp_extract("a.tag", ANCHOR, i)
+    href = F.regexp_replace(F.concat(part(1), part(2), part(3)), r"^\s+|\s+$", "")
+    return out.select(*rest, "pos", F.col("a.tag").alias("tag"), href.alias("href"), part(4).alias("label"), F.col("a.tail").alias("tail"))
 
 
 def is_document_link(href: Column) -> Column:

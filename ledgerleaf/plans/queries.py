@@ -67,7 +67,9 @@ def canonical_urls(spark, d):
 def url_scope(spark, d):
     pages = table(spark, d, "pages")
     base = F.concat(F.substring_index("url", "/", 3), F.lit("/"))
-    return pages.select("page_id", u.under_prefix(F.col("url"), base).alias("own"), u.under_prefix(F.col("url"), F.lit(SITE)).alias("other"), u.as_dir_url(F.col("url")).alias("dir_url"), u.relative_dir(F.col("url"), base).alias("rel"))
+    near = F.when(F.col("page_id") % 3 == 0, base).when(F.col("page_id") % 3 == 1, F.concat(base, F.lit("a/"))).otherwise(F.regexp_replace("url", "[^/]*$", ""))
+    near = F.when(F.col("page_id") % 5 == 0, F.replace(near, F.lit("//"), F.lit("//other."))).otherwise(near)
+    return pages.select("page_id", u.under_prefix(F.col("url"), near).alias("own"), u.under_prefix(F.col("url"), F.lit(SITE)).alias("other"), u.as_dir_url(F.col("url")).alias("dir_url"), u.relative_dir(F.col("url"), base).alias("rel"))
 
 
 @query
@@ -117,8 +119,8 @@ def size_parse(spark, d):
 
 @query
 def human_bytes(spark, d):
-    n = F.col("n_chars") * 1024
-    return table(spark, d, "documents").select("doc_id", t.human(F.col("n_chars") % 1024).alias("small"), t.human(n - n % 1048576 + 524288).alias("large"))
+    n = F.col("n_chars")
+    return table(spark, d, "documents").select("doc_id", t.human(n % 1024).alias("small"), t.human(n).alias("plain"), t.human(n * n * 37).alias("large"), t.human(F.when(n % 3 > 0, n * 128)).alias("halves"))
 
 
 @query
@@ -133,15 +135,15 @@ def listing_date(spark, d):
     o, ts = table(spark, d, "orders"), F.col("o_orderdate").cast("timestamp")
     told = F.concat(F.date_format(ts, "d"), F.lit("-"), F.date_format(ts, "MMM"), F.lit("-"), F.date_format(ts, "yyyy HH:mm"))
     ntz = lambda c: c.cast("timestamp_ntz")
-    return o.select("o_orderkey", ntz(t.listing_date(F.concat(F.lit("<td>"), told, F.lit(" 3.8M")))).alias("named"), ntz(t.listing_date(F.date_format(ts, "yyyy-MM-dd HH:mm"))).alias("plain"), ntz(t.listing_date(F.lit("31-Xyz-2015 15:32"))).alias("wrong"))
+    return o.select("o_orderkey", ntz(t.listing_date(F.concat(F.lit("<td>"), told, F.lit(" 3.8M")))).alias("named"), ntz(t.listing_date(F.date_format(ts, "yyyy-MM-dd HH:mm"))).alias("plain"), ntz(t.listing_date(F.concat(F.lit("31"), F.date_format(ts, "-MMM-yyyy HH:mm")))).alias("last"))
 
 
 def _names(spark, d) -> DataFrame:
-    """Parts as published files: a name with an ending, a listed size and a URL."""
+    """Parts as published files: a name with an ending, a listed size that forty share, and a URL."""
     p = table(spark, d, "part")
     ending = F.when(F.col("p_partkey") % 3 == 0, ".pdf").when(F.col("p_partkey") % 3 == 1, F.concat((F.col("p_partkey") % 7).cast("string"), F.lit(".PDF"))).otherwise(".tar.gz")
     name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), ending)
-    return p.select("p_partkey", name.alias("name"), F.col("p_size").cast("long").alias("size"), F.concat(F.lit(SITE + "files/"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("url"))
+    return p.select("p_partkey", name.alias("name"), F.floor(F.col("p_partkey") / 40).cast("long").alias("size"), F.concat(F.lit(SITE + "files/"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("url"))
 
 
 @query
@@ -241,8 +243,10 @@ def include_exclude(spark, d):
 
 @query
 def robots_rules(spark, d):
-    body = table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("https://a.example").alias("origin"), F.lit(ROBOTS).alias("body"))
-    return crawl.parse_robots(body)
+    """A robots file for each page, with rules of its own for any agent or another one."""
+    at = F.col("page_id").cast("string")
+    body = F.concat(F.lit("# rules\nUser-Agent: "), F.when(F.col("page_id") % 3 == 0, "other").otherwise("*"), F.lit("\r\ndisallow: /"), at, F.lit(" # why\nAllow: /x\nDisallow:\nUser-agent: bot\nDisallow: /b"), at, F.lit("\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("user-agent: *\nDISALLOW:/z"), at)).otherwise(""))
+    return crawl.parse_robots(table(spark, d, "pages").select(F.concat(F.lit("https://h"), at).alias("origin"), body.alias("body")))
 
 
 @query
@@ -314,6 +318,7 @@ def coverage(spark, d):
 @query
 def playground_filter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("site"), F.col("n_chars").alias("size"), F.lit(None).cast("timestamp").alias("mtime"))
+    docs = docs.withColumn("mtime", F.when(F.col("doc_id") % 4 > 0, F.make_timestamp(2018 + F.col("doc_id") % 5, F.lit(3), F.lit(1), F.lit(0), F.lit(0), F.lit(0))))
     return analytics.playground(docs, sites=["src0", "src3"], least=500, most=0, since="2020-01-01").select("doc_id", "site", "size")
 
 
@@ -351,7 +356,8 @@ def site_summary(spark, d):
 @query
 def global_totals(spark, d):
     manifest, copies, state = _manifest(spark, d)
-    return analytics.global_totals(analytics.site_summary(manifest, state, copies, manifest.filter("size < 50").select("site", "url")))
+    totals = analytics.global_totals(analytics.site_summary(manifest, state, copies, manifest.filter("size < 50").select("site", "url")))
+    return totals.select("sites", "documents_discovered", "documents_fetched", "documents_bytes", "bytes_downloaded_this_run", "duplicates", "duplicate_bytes_collapsed", "errors")
 
 
 @query
@@ -385,11 +391,14 @@ def throughput(spark, d):
 
 @query
 def audit_checks(spark, d):
-    """The health checks; files are the documents again, one in a hundred cut short."""
+    """All eight health checks; files are the documents again, some cut short, changed or missing."""
     manifest, copies, state = _manifest(spark, d)
-    files = manifest.filter("status = 'downloaded'").select("site", F.col("local_path").alias("path"), (F.col("size") - F.when(F.col("local_path").endswith("00"), 1).otherwise(0)).alias("size"), "sha256")
-    stored = manifest.filter("status = 'downloaded'")
-    return audit.audit(stored, manifest.filter("size < 0"), state, copies, files)
+    n = F.substring("local_path", 3, 20).cast("long")
+    files = manifest.filter("status = 'downloaded'").filter(n % 41 != 0).select("site", F.col("local_path").alias("path"), (F.col("size") - F.when(n % 100 == 0, 1).otherwise(0)).alias("size"), F.when(n % 7 == 0, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
+    stored = manifest.filter("status = 'downloaded'").withColumn("status", F.when(n % 97 == 0, "").otherwise(F.col("status")))
+    pages = manifest.filter(n % 3 == 0).select("site")
+    summaries = manifest.groupBy("site").agg(F.floor(F.count(F.lit(1)) / 3).cast("long").alias("listing_pages"))
+    return audit.audit(stored, manifest.filter("size < 50"), state.filter("size % 13 <> 0"), copies, files, summaries, pages)
 
 
 @query
@@ -403,3 +412,67 @@ def merged_state(spark, d):
 def year_clusters(spark, d):
     o = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("size"), F.concat(F.lit("base_"), F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".zip").otherwise(".csv")).alias("name"))
     return analytics.year_clusters(o, F.col("name"), "size")
+
+
+@query
+def similarity_summary(spark, d):
+    """Least, median and largest similarity of candidate pairs by ending of the kept name."""
+    pairs = dedup.candidate_pairs(_names(spark, d), [], "name", "size", "url", ratio=False).withColumn("name_similarity", F.round(F.length("kept_name") / F.length("candidate_name"), 6))
+    return dedup.similarity_summary(pairs.withColumn("ext", t.extension(F.col("kept_name"))), ["ext"])
+
+
+@query
+def cluster_sizes(spark, d):
+    pairs = dedup.candidate_pairs(_names(spark, d), [], "name", "size", "url", ratio=False)
+    return dedup.cluster_sizes(dedup.clusters(pairs), pairs)
+
+
+@query
+def pairs_touching(spark, d):
+    """Candidate pairs with either side among the URLs of some parts."""
+    rows = _names(spark, d)
+    pairs = dedup.candidate_pairs(rows, [], "name", "size", "url", ratio=False).select("kept_url", "candidate_url")
+    return dedup.touching(pairs, rows.filter("p_partkey % 5 = 0").select("url"))
+
+
+@query
+def coarse_sizes(spark, d):
+    docs = table(spark, d, "documents").withColumn("listed", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") * 1048576).otherwise(F.col("n_chars") * 2048 + 1))
+    return analytics.coarse_sizes(docs, "source", "listed")
+
+
+@query
+def link_counts(spark, d):
+    """Links to a stored content: how many documents share it, by site and status."""
+    rows = _copies(spark, d)
+    counts = rows.groupBy("kept_id").agg(F.count(F.lit(1)).alias("nlink"))
+    return analytics.link_counts(rows.join(counts, "kept_id").select(F.col("source").alias("site"), "status", "nlink"))
+
+
+@query
+def unknown_sources(spark, d):
+    """Hosts of pages that no document's source names, and of these the ones that sort first."""
+    names = table(spark, d, "documents").select("source").unionByName(table(spark, d, "region").select(F.col("r_name").alias("source")))
+    return analytics.unknown(names, table(spark, d, "documents").filter("doc_id % 2 = 0").select("source"), "source")
+
+
+@query
+def page_sites(spark, d):
+    """The site of each page: the longest known host that its host is or ends with."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(u.host(F.col("url")).alias("h")).distinct()
+    sites = hosts.filter("length(h) % 2 = 0").select(F.col("h").alias("site")).unionByName(hosts.select(F.regexp_replace("h", r"^[^.]*\\.", "").alias("site")))
+    return u.site_of(pages, sites.distinct()).select("page_id", "site")
+
+
+@query
+def refreshed(spark, d):
+    """What a refresh finds: the same bytes, the same under another listed size, or others."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    told = incremental.refreshed(F.col("n_chars"), F.col("n_chars") + F.col("doc_id") % 3, F.col("n_chars"), F.lit("a"), F.when(F.col("doc_id") % 5 > 0, "a").otherwise("b"))
+    return docs.select("doc_id", told.alias("status"))
+
+
+@query
+def all_duplicates(spark, d):
+    return analytics.all_duplicates(_manifest(spark, d)[1])

@@ -19,8 +19,10 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of the driver's only where the session names none."""
+    """The shared folder; a temporary one of the driver's only in a local session that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         here = spark.sparkContext.applicationId
         at = _own.get(here) or _own.setdefault(here, tempfile.mkdtemp(prefix="ledgerleaf-"))

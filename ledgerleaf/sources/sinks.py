@@ -66,6 +66,20 @@ def site_readme(summary_row) -> str:
     return "\n".join(lines) + "\n"
 
 
+def global_report(summaries: DataFrame, duplicates_of_all: DataFrame, folder: str) -> None:
+    """global.json (a row for each site and the totals), duplicate_groups.json, duplicates_all_sites.csv and README.md."""
+    from ..operators.analytics import all_duplicates, copies_by_content, global_totals
+
+    totals = global_totals(summaries)
+    summaries.orderBy("site").coalesce(1).write.mode("overwrite").json(f"{folder}/global.json/sites")
+    totals.coalesce(1).write.mode("overwrite").json(f"{folder}/global.json/totals")
+    copies_by_content(duplicates_of_all).write.mode("overwrite").json(f"{folder}/global.json/duplicate_groups")
+    all_duplicates(duplicates_of_all).coalesce(1).write.mode("overwrite").options(header=True, escape='"').csv(f"{folder}/duplicates_all_sites.csv")
+    head = totals.select(F.lit(0).alias("at"), F.concat_ws("\n", F.lit("# All sites\n"), *(F.format_string(f"* {n.replace('_', ' ')}: %d", n) for n in totals.columns), F.lit("")).alias("line"))
+    rows = summaries.select(F.lit(1).alias("at"), F.format_string("* %s: %d documents, %s stored, %d duplicates, %d errors", "site", "documents_discovered", t.human(F.col("documents_bytes")), "duplicates", "errors").alias("line"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("at", "line").select("line").write.mode("overwrite").text(f"{folder}/README.md")
+
+
 def listing_html(entries: DataFrame, dialect: str = "pre") -> DataFrame:
     """(page_url, html): pages in one of three dialects from entries (page_url, name, href, date, size)."""
     row = {

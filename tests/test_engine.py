@@ -8,12 +8,12 @@ from ledgerleaf.sources import reports, sinks
 from ledgerleaf.streaming import state as stream
 from pyspark.sql import functions as F
 
-BASE = "https://x.gov/d/"
+BASE = "https://t.test/d/"
 TABLE = """<tr><td><a href="?C=N;O=D">Name</a></td></tr><tr><td><a href="/">Parent Directory</a></td><td>-</td></tr>
-<tr><td><a href="10.pdf" title="10-whole-name.pdf">10-whole..&gt;</a></td><td class="x datetime" data-sort-value="2024-02-16 14:56">16 Feb</td><td class="size" data-sort-value="3800">3.7K</td></tr>
-<tr><td><a href='sub/'>sub/</a></td><td>2020-01-02 03:04</td><td>-</td></tr><tr><td><a href=500.pdf>500.pdf</a></td><td>2024-02-17 01:02</td><td>387K</td></tr>"""
-PRE = '<pre><a href="../">../</a>\n<a href="ADM/">ADM/</a>   27-Feb-2020 16:28    -\n<a href="z.zip">z.zip</a>  11-Jul-2025 18:23   51K\n<a href="nodate.bin">nodate.bin</a>  215040\n</pre>'
-LINKS = '<ul><li><a href="2013 - Diário">2013 - Diário</a></li><li><a href="https://other.example/x.pdf">x</a></li><li><a href="mailto:a@b">m</a></li><li><a href="#t">t</a></li><li><a href="2013 - Diário">again</a></li></ul>'
+<tr><td><a href="31.csv" title="31-rain-table.csv">31-rain..&gt;</a></td><td class="x datetime" data-sort-value="2013-05-09 08:30">9 May</td><td class="size" data-sort-value="5100">5.0K</td></tr>
+<tr><td><a href='sub/'>sub/</a></td><td>2020-01-02 03:04</td><td>-</td></tr><tr><td><a href=77.csv>77.csv</a></td><td>2013-05-10 21:07</td><td>64K</td></tr>"""
+PRE = '<pre><a href="../">../</a>\n<a href="rain/">rain/</a>   3-Jan-2009 07:45    -\n<a href="hill.zip">hill.zip</a>  21-Oct-2012 12:00   9K\n<a href="plain.bin">plain.bin</a>  70001\n</pre>'
+LINKS = '<ul><li><a href="Über uns 4">Über uns 4</a></li><li><a href="https://other.example/x.pdf">x</a></li><li><a href="mailto:a@b">m</a></li><li><a href="#t">t</a></li><li><a href="Über uns 4">again</a></li></ul>'
 
 
 def parsed(spark, html):
@@ -23,30 +23,30 @@ def parsed(spark, html):
 
 def test_table_dialect(spark):
     got = parsed(spark, TABLE)
-    assert set(got) == {"10.pdf", "sub/", "500.pdf"}
-    assert (got["10.pdf"].name, got["10.pdf"].size, got["10.pdf"].mtime) == ("10-whole-name.pdf", 3800, dt.datetime(2024, 2, 16, 14, 56))
-    assert (got["500.pdf"].size, got["500.pdf"].is_dir) == (387 * 1024, False)
+    assert set(got) == {"31.csv", "sub/", "77.csv"}
+    assert (got["31.csv"].name, got["31.csv"].size, got["31.csv"].mtime) == ("31-rain-table.csv", 5100, dt.datetime(2013, 5, 9, 8, 30))
+    assert (got["77.csv"].size, got["77.csv"].is_dir) == (64 * 1024, False)
     assert (got["sub/"].is_dir, got["sub/"].name) == (True, "sub")
 
 
 def test_pre_dialect(spark):
     got = parsed(spark, PRE)
-    assert set(got) == {"ADM/", "z.zip", "nodate.bin"}
-    assert got["ADM/"].is_dir and got["ADM/"].size is None and got["ADM/"].mtime == dt.datetime(2020, 2, 27, 16, 28)
-    assert (got["z.zip"].size, got["nodate.bin"].size, got["nodate.bin"].mtime) == (51 * 1024, 215040, None)
+    assert set(got) == {"rain/", "hill.zip", "plain.bin"}
+    assert got["rain/"].is_dir and got["rain/"].size is None and got["rain/"].mtime == dt.datetime(2009, 1, 3, 7, 45)
+    assert (got["hill.zip"].size, got["plain.bin"].size, got["plain.bin"].mtime) == (9 * 1024, 70001, None)
 
 
 def test_link_dialect(spark):
     got = parsed(spark, LINKS)
-    assert list(got) == ["2013 - Diário"] and got["2013 - Diário"].unknown
+    assert list(got) == ["Über uns 4"] and got["Über uns 4"].unknown
 
 
 def test_robots(spark):
-    body = "User-agent: *\nDisallow: /privado/ # x\nDisallow: /tmp\n\nUser-agent: bot\nDisallow: /\n"
-    rules = crawl.parse_robots(spark.createDataFrame([("https://x.gov", body), ("https://y.gov", "User-agent: *\nAllow: /\n")], "origin string, body string"))
-    assert {r.rule for r in rules.collect()} == {"/privado/", "/tmp"}
-    rows = spark.createDataFrame([("https://x.gov/tmp/a",), ("https://x.gov/a",), ("https://y.gov/tmp",)], "url string")
-    assert {r.url for r in crawl.robots_allowed(rows, rules).collect()} == {"https://x.gov/a", "https://y.gov/tmp"}
+    body = "User-agent: *\nDisallow: /inner/ # x\nDisallow: /tmp\n\nUser-agent: bot\nDisallow: /\n"
+    rules = crawl.parse_robots(spark.createDataFrame([("https://t.test", body), ("https://y.gov", "User-agent: *\nAllow: /\n")], "origin string, body string"))
+    assert {r.rule for r in rules.collect()} == {"/inner/", "/tmp"}
+    rows = spark.createDataFrame([("https://t.test/tmp/a",), ("https://t.test/a",), ("https://y.gov/tmp",)], "url string")
+    assert {r.url for r in crawl.robots_allowed(rows, rules).collect()} == {"https://t.test/a", "https://y.gov/tmp"}
 
 
 def test_defaults(spark):
@@ -99,11 +99,11 @@ def test_run(spark):
 
 
 def test_candidates_and_clusters(spark):
-    rows = [("a/001-Arquivo.pdf", 33792), ("a/001-Arquivo-devanir.pdf", 33792), ("a/outra.pdf", 33792), ("a/unico.pdf", 111), ("b/x.pdf", None)]
+    rows = [("a/7-Report.pdf", 20480), ("a/7-Report-annex.pdf", 20480), ("a/hills.pdf", 20480), ("a/alone.pdf", 111), ("b/x.pdf", None)]
     df = spark.createDataFrame([(k.split("/")[1], k, s) for k, s in rows], "name string, url string, size long")
     pairs = dedup.candidate_pairs(df, [], "name", "size", "url")
-    assert [(r.kept_url, r.candidate_url) for r in pairs.collect()] == [("a/001-Arquivo.pdf", "a/001-Arquivo-devanir.pdf")]
-    assert {r.url: r.cluster for r in dedup.clusters(pairs).collect()} == {"a/001-Arquivo.pdf": "a/001-Arquivo-devanir.pdf", "a/001-Arquivo-devanir.pdf": "a/001-Arquivo-devanir.pdf"}
+    assert [(r.kept_url, r.candidate_url) for r in pairs.collect()] == [("a/7-Report.pdf", "a/7-Report-annex.pdf")]
+    assert {r.url: r.cluster for r in dedup.clusters(pairs).collect()} == {"a/7-Report.pdf": "a/7-Report-annex.pdf", "a/7-Report-annex.pdf": "a/7-Report-annex.pdf"}
 
 
 def test_budget_is_a_fold(spark):
@@ -111,6 +111,33 @@ def test_budget_is_a_fold(spark):
     assert [r.admitted for r in incremental.admit(df, 1000).orderBy("rank").collect()] == [True, False, True, True, False]
 
 
+def test_budget_against_a_plain_loop(spark):
+    """Ties, nulls and many ranges of few rows."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(60)]), r.choice([None, 0, 1, 5, 30, 90, 400])) for _ in range(400)]
+    used, want = 0, []
+    for rank, size in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)):
+        fits = size is None or used + size <= 1500
+        used += size if fits and size else 0
+        want.append((rank, size, fits))
+    df = spark.createDataFrame(rows, "rank long, size long")
+    got = [tuple(x) for x in incremental.admit(df, 1500, part=150).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_report_over_all_sites(spark, tmp_path):
+    manifest = spark.createDataFrame([("a", "u1", 5, "h", "downloaded", "p", 1.0), ("a", "u2", 5, "h", "duplicate", None, 1.0), ("b", "u3", 7, "k", "error", None, None)], "site string, url string, size long, sha256 string, status string, local_path string, duration_s double")
+    copies = spark.createDataFrame([("a", "h", 5, "u1", "u2", "sha256")], "site string, sha256 string, size long, kept_url string, duplicate_url string, method string")
+    summaries = analytics.site_summary(manifest, manifest, copies, manifest.limit(0))
+    sinks.global_report(summaries, copies, str(tmp_path))
+    totals = spark.read.json(f"{tmp_path}/global.json/totals").first()
+    assert (totals.sites, totals.documents_discovered, totals.duplicates, totals.errors, totals.bytes_downloaded_this_run) == (2, 3, 1, 1, 5)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/README.md").collect()][0] == "# All sites"
+    assert spark.read.csv(f"{tmp_path}/duplicates_all_sites.csv", header=True).first().duplicate_url == "u2"
+
+
 def test_stored_paths(spark):
     rows = [("s", BASE + "2024/a%20b.pdf", 1), ("s", BASE + "2024/a%3Ab.pdf", 2), ("s", BASE + "2024/a*b.pdf", 3)]
     df = spark.createDataFrame(rows, "slug string, url string, rank int")
@@ -141,9 +168,9 @@ def test_reports_round_trip(spark, tmp_path):
 
 
 def test_captures(spark, tmp_path):
-    (tmp_path / "c.tsv").write_text("kind\tname\turl\tdate\tsize\ndir\tADM\thttps://x/ADM/\t27-Feb-2020 16:28\t\n\nfile\té.pdf\t\t2024-02-16 14:56\t3.8M\nfile\tshort\n")
+    (tmp_path / "c.tsv").write_text("kind\tname\turl\tdate\tsize\ndir\train\thttps://x/rain/\t3-Jan-2009 07:45\t\n\nfile\té.pdf\t\t2013-05-09 08:30\t7.5M\nfile\tshort\n")
     got = reports.captures(spark, f"{tmp_path}/c.tsv").collect()
-    assert [(r.name, r.bytes) for r in got] == [("ADM", None), ("é.pdf", 3984588), ("short", None)]
+    assert [(r.name, r.bytes) for r in got] == [("rain", None), ("é.pdf", 7864320), ("short", None)]
 
 
 def test_stream(spark, tmp_path):
