@@ -461,7 +461,7 @@ def page_sites(spark, d):
     """The site of each page: the longest known host that its host is or ends with."""
     pages = table(spark, d, "pages").select("page_id", "url")
     hosts = pages.select(u.host(F.col("url")).alias("h")).distinct()
-    sites = hosts.filter("length(h) % 2 = 0").select(F.col("h").alias("site")).unionByName(hosts.select(F.regexp_replace("h", r"^[^.]*\\.", "").alias("site")))
+    sites = hosts.filter("length(h) % 2 = 0").select(F.col("h").alias("site")).unionByName(hosts.select(F.regexp_replace("h", r"^[^.]*\.", "").alias("site")))
     return u.site_of(pages, sites.distinct()).select("page_id", "site")
 
 
