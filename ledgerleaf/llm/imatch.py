@@ -4,7 +4,7 @@ Terms are words ``[^\x20\x09-\x0D]+``; a term's code is the first 15 hexadecimal
 MD5. Document frequencies are counted for each code, exactly, and the lexicon keeps those
 within the band (an inverse document frequency between two bounds). A code in it is in at
 least ``LEAST`` of all documents, so it has at most 1 / LEAST times the mean number of
-distinct terms of a document, whatever the corpus; it travels in the plan as a hash set.
+distinct terms of a document, whatever the corpus; it travels in the plan as one constant.
 Of a document's sorted distinct codes in the lexicon (all its codes, if none is), the
 fingerprint hashes the whole list and then 40 subsets of it: eight random families of
 terms, each in five steps that keep a quarter of the one before, so short and long texts
@@ -50,10 +50,18 @@ def lexicon(docs: DataFrame, total: int, least: float = LEAST, most: float = MOS
     return [r.code for r in times.filter((F.col("n") >= max(2, least * total)) & (F.col("n") <= max(2, most * total))).select("code").collect()]
 
 
-def within(name: str, lex: list[str]) -> Column:
+def lookup(lex: list[str]) -> Column:
+    """The lexicon as a constant of 4,096 texts: by a code's first three digits, the other digits of each."""
+    parts: list[list[str]] = [[] for _ in range(4096)]
+    for code in lex:
+        parts[int(code[:3], 16)].append(code[3:])
+    return F.split(F.lit(",".join(" ".join(p) for p in parts)), ",")
+
+
+def within(name: str, table: Column) -> Column:
     """The sorted codes of column ``name`` that are in the lexicon, or all where none is."""
-    found = F.expr(f"filter({name}, x -> x in ({','.join(map(repr, lex))}))") if lex else F.array().cast("array<string>")
-    return F.transform(F.array(found), lambda f: F.sort_array(F.when(F.size(f) == 0, F.col(name)).otherwise(f)))[0]
+    known = lambda x: F.contains(F.get(table, F.conv(F.left(x, F.lit(3)), 16, 10).cast("int")), F.substring(x, 4, DIGITS - 3))
+    return F.transform(F.array(F.filter(name, known)), lambda f: F.sort_array(F.when(F.size(f) == 0, F.col(name)).otherwise(f)))[0]
 
 
 def _in_family(at: int, quarter: str):
@@ -124,13 +132,13 @@ def prints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFra
     a, b = identity()
     docs = docs.select("doc_id", "text", a.alias("a"), b.alias("b"))
     n, named = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    lex = lexicon(docs, n, least, most)
+    table = lookup(lexicon(docs, n, least, most))
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "a", "b")
     half = F.floor(F.length("text") / 2).cast("int")
     seen = with_next(docs, n, n - named).withColumn("after", F.coalesce(F.lead("text").over(order), F.col("text")))
     seen = seen.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("after"), F.lit(1), half)))
     seen = seen.select("range", "guest", "doc_id", "a", "b", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), codes(F.col("text")).alias("_own"), F.when(~F.col("guest"), codes(F.col("edited"))).alias("_edit"))
-    seen = seen.withColumns({"own": within("_own", lex), "edit": within("_edit", lex)})
+    seen = seen.withColumns({"own": within("_own", table), "edit": within("_edit", table)})
     seen = fingerprint(fingerprint(seen, "own", "f"), "edit", "e").select("range", "guest", "doc_id", "a", "b", "n_chars", "edited_sha256", "f", "e")
     seen = seen.withColumn("n", F.coalesce(F.lead("f").over(order), F.col("f"))).filter(~F.col("guest"))
     return seen.select(
