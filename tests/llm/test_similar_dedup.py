@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from ledgerleaf.llm import similar_dedup
 from ledgerleaf.llm.simhash_dedup import keep_first
@@ -84,3 +85,12 @@ def test_pipeline_stage_links_edited_copies(make, spark):
     rows = near_copies(random.Random(11))
     kept = corpus_pipeline.distinct(spark, make(rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(firsts(rows)))
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    r = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (1, 0, 0), (146, 146, 120), (146, 30, 30), (5000, 4800, 4700), (9, 9, 9)]:
+        x, y, z = (r.integers(0, 1 << 64, size, np.uint64) for size in (n - both, m - both, both))
+        a, b = np.concatenate([x, z]), np.concatenate([y, z])
+        apart = sum(int(v).bit_count() for v in (similar_dedup.sketch(a) ^ similar_dedup.sketch(b)).view(np.uint64))
+        assert apart <= n + m - 2 * both and (n + m - 2 * both - apart) % 2 == 0
