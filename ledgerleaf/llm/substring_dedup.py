@@ -40,6 +40,8 @@ from .tokens import Sums, blocks
 
 WINDOW = 35
 MINIMIZER = 8
+#: Bytes of a block of texts, and documents written at a time: what bounds a worker's memory.
+BLOCK, ROWS = 1 << 18, 256
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -79,7 +81,7 @@ def path_rows(k: int, m: int):
     def rows(batches):
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK):
                 doc, start, count, gram, digest = paths(block, k, m)
                 if len(doc):
                     at = pa.array(doc + block.rows.start)
@@ -97,7 +99,7 @@ def edge_rows(k: int):
     def rows(batches):
         for batch in batches:
             a, b, found = batch.column("a"), batch.column("b"), batch.column("paths")
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK):
                 block.words()
                 where, docs = [], []
                 for i, row in enumerate(block.rows):
@@ -117,7 +119,7 @@ def edge_rows(k: int):
 
 def kept_rows(k: int):
     def rows(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts, found = batch.column("text"), batch.column("spans")
             out: list[list] = [[], [], [], []]
             for i in range(batch.num_rows):

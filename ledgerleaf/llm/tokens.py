@@ -132,7 +132,9 @@ class Block:
         told[source + np.repeat(shift, length)] = self.data[source]
         view, digest = memoryview(told), hashlib.blake2b
         a, z = (after - length - 1)[first].tolist(), after[last - 1].tolist()
-        out = b"".join([digest(view[i:j], digest_size=16).digest() for i, j in zip(a, z, strict=True)])
+        out = bytearray()
+        for i, j in zip(a, z, strict=True):
+            out += digest(view[i:j], digest_size=16).digest()
         return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
