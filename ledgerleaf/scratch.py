@@ -34,17 +34,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept.append((spark, path, out))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned, once all that reads them has been written itself."""
+    for kept in [k for k in _kept if any(k[2] is t for t in tables)]:
+        _kept.remove(kept)
+        _delete(*kept[:2])
 
 
 def clear() -> None:
     """Delete what ``keep`` has written; also runs when the driver ends."""
     while _kept:
-        spark, path = _kept.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_kept.pop()[:2])
         except Exception:  # the session is gone, and the folder with it or left to its owner
             return
 
