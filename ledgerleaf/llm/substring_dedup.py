@@ -154,6 +154,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Data
     found = scratch.keep(docs.select("a", "b", "text").mapInArrow(path_rows(k, m), f"gram long, {whole}"), "paths")
     twice = scratch.keep(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram"), "twice")
     repeated = scratch.keep(found.join(twice, "gram"), "repeated")
+    scratch.drop(found, twice)
 
     key, path, item = ("a", "b"), ("one", "two"), F.struct("start", "n")
     classes = repeated.groupBy("gram", *path).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*key, "start", "n")).alias("first"))
