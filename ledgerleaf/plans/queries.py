@@ -451,7 +451,7 @@ def link_counts(spark, d):
 
 @query
 def unknown_sources(spark, d):
-    """Hosts of pages that no document's source names, and of these the ones that sort first."""
+    """Sources and names of regions that are no source of a document with an even id."""
     names = table(spark, d, "documents").select("source").unionByName(table(spark, d, "region").select(F.col("r_name").alias("source")))
     return analytics.unknown(names, table(spark, d, "documents").filter("doc_id % 2 = 0").select("source"), "source")
 
