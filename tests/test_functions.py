@@ -75,7 +75,7 @@ def test_names(spark):
 
 def test_numbers(spark):
     df = spark.createDataFrame([(7,), (1280,), (9594470,), (None,)], "n long")
-    assert [r.x for r in df.select(t.human(F.col("n")).alias("x")).collect()] == ["7 B", "1.2 KiB", "9.2 MiB", "-"]
+    assert [r.x for r in df.select(t.human(F.col("n")).alias("x")).collect()] == ["7 B", "1.2 KiB", "9.1 MiB", "-"]
     df = spark.createDataFrame([(3145728,), (7168,), (1000003,), (None,), (0,)], "n long")
     assert [tuple(r.x) for r in df.select(t.granularity(F.col("n")).alias("x")).collect()] == [(1048576.0, "rounded to ≤ 1 MiB"), (1024.0, "rounded to ≤ 1 KiB"), (1.0, "exact bytes"), (None, "unknown"), (1.0, "exact bytes")]
     df = spark.createDataFrame([(0.125,), (0.3333,)], "x double")
