@@ -1,12 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
-Quality classifier, near-dedup by exact similarity, benchmark decontamination, personal data, mixture.
+Quality classifier, near-dedup by SimHash and by exact similarity, benchmark decontamination, personal data, mixture.
 Every stage works on all that the one before has left, and keeps the columns of documents;
 the last one adds ``copy``, the number of each copy of a row.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word similarity of 0.8 or more."""
-    return simhash_dedup.keep_first(docs, similar_dedup.near_groups)
+    """One document of each group linked by SimHash, as in operator 10, or a five-word similarity of 0.8 or more.
+
+    Two of 64 bits can't reach most texts as similar as that, so similarity adds its links to those of SimHash.
+    """
+    return simhash_dedup.keep_first(docs, partial(similar_dedup.near_groups, simhash=True))
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,10 @@ number of a set's hashes in it is odd. Two sketches differ in no more cells than
 differ in members, so the join itself leaves out pairs whose sketches differ in too many; that
 never loses a similar pair, and only sets of pairs that pass are read and counted.
 
+With ``simhash`` the links of ``simhash_dedup``, two or fewer of 64 bits, come first: its
+fingerprints, covering tables and components are made of the same rows, and comparisons only
+add what these left apart. Groups are then those of both kinds of links, in any steps.
+
 Cases: null, empty and wordless texts are one group; a long text is a block of its own;
 similarity of just ``LEAST`` links; repeated rows and repeated doc_ids are rows of their own;
 an empty table gives no rows; other columns are ignored.
@@ -32,6 +36,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +45,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators.graph import components
+from . import simhash_dedup
 from .tokens import Sums, blocks, mix
 
 SHINGLE = 5
@@ -94,7 +101,7 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(batches):
+def _signatures(batches, simhash: bool = False):
     for batch in batches:
         marks, sizes, bands, odd = [], [], [], []
         for _, found in sets(batch.column("text")):
@@ -104,7 +111,8 @@ def _signatures(batches):
             odd.append(sketch(found))
         names = [n for n in batch.schema.names if n != "text"]
         made = [pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "fp", "n", "bands", "odd"])
+        more = [pa.array(np.array([simhash_dedup.fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64))] if simhash else []
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made, *more], names=[*names, "fp", "n", "bands", "odd", *["simhash"][: len(more)]])
 
 
 def _members(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,12 +152,24 @@ def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return both.filter(_fits("size(_u)", "size(_v)", "same")).select("u", "v")
 
 
+def _printed(found: DataFrame) -> DataFrame:
+    """Edges (u, v) of sets whose texts ``simhash_dedup`` links, directly or in steps; ``found`` has fp and simhash."""
+    both = scratch.keep(found.select("fp", "simhash").distinct(), "prints")
+    near = components(simhash_dedup.links(both.select(F.col("simhash").alias("fp")).distinct()))
+    near = both.join(near.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
+    near = scratch.keep(near.select("component", "fp").distinct(), "printed")
+    least = scratch.keep(near.groupBy("component").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).filter("u <> v").select("component", "u"), "least")
+    return scratch.keep(near.join(least, "component").select("u", F.col("fp").alias("v")).filter("u <> v"), "links")
+
+
 def links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(node, component) of the sets linked to others; ``found`` has fp, n, bands and odd of each row."""
+    """(node, component) of the sets linked to others; ``found`` has fp, n, bands and odd of each row, and simhash if its links count."""
     keyed = found.select("fp", "n", F.explode("bands").alias("k"))
     shared = scratch.keep(keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("k"), "shared")
     rows = scratch.keep(keyed.join(shared, "k").distinct(), "candidates")
     whole = edges = groups = sketches = None
+    if "simhash" in found.columns and not (new := _printed(found)).isEmpty():
+        edges, groups = new, scratch.keep(components(new), "components")
     stalled, total = False, rows.count()
     for turn in range(ROUNDS + 1):
         now = rows.withColumn("label", F.col("fp"))
@@ -198,14 +218,15 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     return groups
 
 
-def near_groups(docs: DataFrame, *carry: str) -> DataFrame:
+def near_groups(docs: DataFrame, *carry: str, simhash: bool = False) -> DataFrame:
     """doc_id, fp (long), group and component_id, the smallest doc_id linked directly or in steps.
 
     ``group`` tells groups apart where rows share a doc_id. ``carry`` names columns that go along.
+    With ``simhash`` the links of ``simhash_dedup`` count as well.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
-    schema = docs.drop("text").withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0), "bands": F.array(F.lit(0).cast("long")), "odd": F.array(F.lit(0).cast("long"))}).schema
-    found = scratch.keep(docs.mapInArrow(_signatures, schema), "signatures")
+    schema = docs.drop("text").withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0), "bands": F.array(F.lit(0).cast("long")), "odd": F.array(F.lit(0).cast("long")), **({"simhash": F.lit(0).cast("long")} if simhash else {})}).schema
+    found = scratch.keep(docs.mapInArrow(partial(_signatures, simhash=simhash), schema), "signatures")
     classes = scratch.keep(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     groups = links(docs, found)
     named = classes.withColumn("component", F.col("fp"))
